@@ -22,6 +22,8 @@ import tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import mapped
+
 #: Added to the code point of a word's last symbol, which the vocabulary writes with its word-end suffix.
 LAST = 0x1000
 #: Entries of a worker's caches; they start anew when full.
@@ -195,7 +197,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), pa.array([r[1] for r in rows], pa.string())], names=[id_col, "ids", "decoded"])
 
     rows = docs.select(id_col, F.col(text_col).cast("string"))
-    return rows.mapInArrow(each, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, ids array<int>, decoded string")
+    return mapped(rows, each, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, ids array<int>, decoded string")
 
 
 def decode(rows: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -207,7 +209,7 @@ def decode(rows: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_col: str
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([tok.decode(x.as_py() or []) for x in b.column(1)], pa.string())], names=[id_col, "decoded"])
 
     rows = rows.select(id_col, F.col(ids_col).cast("array<int>"))
-    return rows.mapInArrow(each, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, decoded string")
+    return mapped(rows, each, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, decoded string")
 
 
 def encoded_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -224,4 +226,4 @@ def encoded_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(c, pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select(id_col, F.col(text_col).cast("string"))
-    return rows.mapInArrow(each, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return mapped(rows, each, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +24,25 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def ship(spark: SparkSession) -> None:
+    """Lets the executors import this package, however the driver found it."""
+    context, top = spark.sparkContext, Path(__file__).resolve().parents[1]
+    if getattr(context, "_orrery_shipped", False):
+        return
+    out = Path(tempfile.mkdtemp(prefix="orrery-")) / f"{top.name}.zip"
+    with zipfile.ZipFile(out, "w") as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, p.relative_to(top.parent))
+    context.addPyFile(str(out))
+    context._orrery_shipped = True
+
+
+def mapped(df: DataFrame, function, schema: str) -> DataFrame:
+    """df.mapInArrow(), where the executors can import what function refers to."""
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
 def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/orrery/{what}-{uuid.uuid4().hex}"
 
@@ -31,6 +52,7 @@ def written(df: DataFrame, what: str) -> DataFrame:
 
     The files outlive lost executors. They stay until the caller removes the folder or calls forget().
     """
+    ship(df.sparkSession)
     path = scratch(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, written
+from .shared import components, mapped, written
 
 SEED = 42
 #: Two-bit segments of a 32-bit half.
@@ -50,7 +50,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=[id_col, "fp"])
 
     rows = docs.select(id_col, F.col(text_col).cast("string"))
-    return rows.mapInArrow(each, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, fp bigint")
+    return mapped(rows, each, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, fp bigint")
 
 
 def _counts(fp: Column, half: int) -> Column:
