@@ -101,3 +101,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, id_col
     known = written(known, "groups")
     named = known.join(known.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id", "n_links")
     return fps.join(named, "fp").select(id_col, "fp", "component_id", "n_links")
+
+
+def without_near_copies(docs: DataFrame, shingle: int = 5, distance: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose id names their group; one id of each group stays."""
+    found = near_duplicates(docs, shingle, distance, id_col, text_col)
+    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
+    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
