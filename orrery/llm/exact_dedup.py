@@ -14,6 +14,8 @@ from .shared import scratch, written
 
 #: Hits that one copy of a kept text is compared with; larger groups get more copies.
 HITS_A_COPY = 512
+#: Runs hold a Bloom filter for each file, as large as its digests need.
+FILTER = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
 
 
 def normalised(text: Column) -> Column:
@@ -28,7 +30,7 @@ class DigestIndex:
 
     def _flush(self, rows: DataFrame, name: str) -> str:
         out = f"{self.path}/{name}"
-        rows.write.option("parquet.bloom.filter.enabled#digest", "true").parquet(out)
+        rows.write.options(**FILTER).parquet(out)
         return out
 
     def append(self, entries: DataFrame, memtables: int = 4) -> None:
@@ -36,7 +38,7 @@ class DigestIndex:
         slot = F.pmod(F.xxhash64("row"), F.lit(memtables)).cast("int")
         runs = entries.groupBy(slot.alias("memtable"), "digest").agg(F.min(F.struct(F.isnull("id").alias("no_id"), "id", "row")).alias("first"), F.count("*").alias("n"))
         out = f"{self.path}/level0-{len(self.runs)}"
-        runs.sortWithinPartitions("memtable", "digest").write.partitionBy("memtable").option("parquet.bloom.filter.enabled#digest", "true").parquet(out)
+        runs.sortWithinPartitions("memtable", "digest").write.partitionBy("memtable").options(**FILTER).parquet(out)
         self.runs.append(out)
 
     def compact(self) -> DataFrame:
