@@ -91,8 +91,8 @@ OTHERS = [
 ]
 
 
-#: Every rule's pattern holds one of these.
-CUES = r"(?i)licen[sc]e|\bunder\b|\bspdx|permission\s|redistribution\s|rights\s+reserved|public\s+domain|subject\s+to|governed\s+by|covered\s+by"
+#: Every rule's pattern holds one of these, or the word "under".
+CUES = ("licen", "spdx", "permission", "redistribution", "rights", "domain", "subject", "governed", "covered")
 
 
 def rules() -> list[tuple[str, str, str, int, float]]:
@@ -106,16 +106,32 @@ def _gate(keys: list[str]) -> str:
     return r"(?i)\b(" + "|".join(words) + ")"
 
 
-def detections(text: Column) -> Column:
+def cued(text: Column, low: Column) -> Column:
+    """Whether any rule could match; plain searches in the lower-case text decide for most texts."""
+    found = low.contains("under") & text.rlike("(?i)\\bunder\\s")
+    for cue in CUES:
+        found = low.contains(cue) | found
+    return found
+
+
+def keywords(text: Column, low: Column) -> Column:
+    """The gate keywords (their first words) that a text holds; low is the text in lower case."""
+    found = F.regexp_extract_all(text, F.lit(_gate([r[1] for r in rules()])), F.lit(1))
+    first = F.array_distinct(F.transform(found, lambda k: F.regexp_extract(F.lower(k), r"^\S+", 0)))
+    return F.when(cued(text, low), first).otherwise(F.array().cast("array<string>"))
+
+
+def detections(text: Column, keys: Column) -> Column:
     """array<struct<start, stop, rank, label, sure>> of a text's surviving detections, by place.
 
+    keys is a column that holds keywords(); it is looked at once for each rule.
+
     Of equal spans the strongest rule stays. A span within another one goes. Of two survivors that
     overlap, the one of lower rank goes, the later one on equal ranks.
     """
     known = rules()
     rows = [{"key": k.split(" ")[0], "scan": rf"(?is)\G(.*?)(\b{p}(?!\w))", "pattern": rf"(?is)\b{p}(?!\w)", "rank": rank, "label": label, "sure": sure} for label, k, p, rank, sure in known]
     table = F.from_json(F.lit(json.dumps(rows)), "array<struct<key:string,scan:string,pattern:string,rank:int,label:string,sure:double>>")
-    keys = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_gate([r[1] for r in known])), F.lit(1)), lambda k: F.split_part(F.regexp_replace(F.lower(k), r"\s+", " "), F.lit(" "), F.lit(1))))
     span = "struct<start:int,stop:int,rank:int,label:string,sure:double>"
 
     def spans(rule: Column) -> Column:
@@ -140,7 +156,7 @@ def detections(text: Column) -> Column:
         F.array().cast(f"array<{span}>"),
         lambda at, x: F.when((F.size(at) == 0) | (last(at)["stop"] <= x["start"]), F.concat(at, F.array(x))).when(last(at)["rank"] >= x["rank"], at).otherwise(F.concat(F.slice(at, 1, F.size(at) - 1), F.array(x))),
     )
-    return F.when(text.rlike(CUES) & (F.size(keys) > 0), settled).otherwise(F.array().cast(f"array<{span}>"))
+    return F.when(F.size(keys) > 0, settled).otherwise(F.array().cast(f"array<{span}>"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -155,10 +171,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     phrase = lambda p: gap.join(p.split(" "))
     whole = f"(?is)(?<!{word})(?:{'|'.join(map(phrase, BASE))})(?!{word})"
     lead = lambda some: f"(?is)^({some})(?<!{word})(?:{'|'.join(map(phrase, BASE))})(?!{word})"
-    text = F.col("__text")
+    text, low = F.col("__text"), F.col("__low")
     has = F.col("n_base") > 0
-    rows = docs.select(id_col, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
-    rows = rows.select("*", F.regexp_count(text, F.lit(f"{word}+")).cast("bigint").alias("n_words"), F.regexp_count(text, F.lit(whole)).cast("bigint").alias("n_base"), detections(text).alias("detections"))
+    rows = docs.select(id_col, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text")).withColumn("__low", F.lower("__text"))
+    rows = rows.withColumn("__keys", keywords(text, low))
+    # Every base phrase ends with this word.
+    n_base = F.when(low.contains("license"), F.regexp_count(text, F.lit(whole)).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+    rows = rows.select("*", F.regexp_count(text, F.lit(f"{word}+")).cast("bigint").alias("n_words"), n_base.alias("n_base"), detections(text, F.col("__keys")).alias("detections"))
     before = lambda some: F.when(has, F.regexp_count(F.regexp_extract(text, lead(some), 1), F.lit(f"{word}+")).cast("bigint"))
     base = F.array_sort(F.array_distinct(F.array_compact(F.array(*(F.when(has & text.rlike(f"(?is)(?<!{word}){phrase(p)}(?!{word})"), F.lit(label)) for p, label in BASE.items())))))
     rows = rows.select(id_col, "n_words", "n_base", before(".*?").alias("first_word"), before(".*").alias("last_word"), base.alias("base"), "detections")

@@ -59,7 +59,7 @@ def schedule(lane_rows: DataFrame) -> DataFrame:
 
     def released(done: Column, at: Column) -> Column:
         """The released lane of earliest deadline in slot `at`, where lane i has had done[i] blocks."""
-        each = F.transform(F.col("c"), lambda c, i: F.struct(F.ceil((F.get(done, i) + 1) * F.col("slots") / c).alias("due"), i.alias("i"), ((F.get(done, i) < c) & (F.get(done, i) * F.col("slots") < (at + 1) * c)).alias("open")))
+        each = F.transform(F.col("c"), lambda c, i: F.struct(F.ceil(F.try_divide((F.get(done, i) + 1) * F.col("slots"), c)).alias("due"), i.alias("i"), ((F.get(done, i) < c) & (F.get(done, i) * F.col("slots") < (at + 1) * c)).alias("open")))
         return F.array_min(F.filter(each, lambda x: x["open"]))["i"]
 
     def step(state: Column, at: Column) -> Column:
