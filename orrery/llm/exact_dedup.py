@@ -26,7 +26,7 @@ class DigestIndex:
     """Sorted runs of (digest, first, n) under a folder; first is the smallest (no id, id, row) of a digest."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path, self.runs = spark, path, []
+        self.spark, self.path, self.runs, self.schema = spark, path, [], None
 
     def _flush(self, rows: DataFrame, name: str) -> str:
         out = f"{self.path}/{name}"
@@ -37,6 +37,7 @@ class DigestIndex:
         """Flushes one sorted run for each memtable that entries (digest, id, row) fill."""
         slot = F.pmod(F.xxhash64("row"), F.lit(memtables)).cast("int")
         runs = entries.groupBy(slot.alias("memtable"), "digest").agg(F.min(F.struct(F.isnull("id").alias("no_id"), "id", "row")).alias("first"), F.count("*").alias("n"))
+        self.schema = runs.select("digest", "first", "n").schema
         out = f"{self.path}/level0-{len(self.runs)}"
         runs.sortWithinPartitions("memtable", "digest").write.partitionBy("memtable").options(**FILTER).parquet(out)
         self.runs.append(out)
@@ -45,11 +46,11 @@ class DigestIndex:
         """Merges all runs into one, which alone is read afterwards."""
         rows = None
         for run in self.runs:
-            part = self.spark.read.parquet(run).select("digest", "first", "n")
+            part = self.spark.read.schema(self.schema).parquet(run).select("digest", "first", "n")
             rows = part if rows is None else rows.unionByName(part)
         merged = rows.groupBy("digest").agg(F.min("first").alias("first"), F.sum("n").alias("n"))
         self.runs = [self._flush(merged.sortWithinPartitions("digest"), f"level1-{len(self.runs)}")]
-        return self.spark.read.parquet(self.runs[0])
+        return self.spark.read.schema(self.schema).parquet(self.runs[0])
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", memtables: int = 4) -> DataFrame:
@@ -91,10 +92,9 @@ def _apart(placed: DataFrame, strays: DataFrame) -> DataFrame:
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns."""
     found = written(exact_duplicates(docs, id_col, text_col), "exact")
-    names, digest = docs.columns, "__digest"
     kept = found.where("kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha"))
-    rows = docs.withColumn(digest, F.sha2(normalised(F.col(text_col)), 256))
-    stay = rows.join(kept, rows[id_col].eqNullSafe(kept["__id"]) & (rows[digest] == kept["__sha"]), "left_semi")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.sha2(normalised(F.col(text_col)), 256).alias("digest"))
+    stay = rows.join(kept, F.col("id").eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__sha")), "left_semi")
     if not found.groupBy(id_col, "text_sha256").count().where("count > 1").isEmpty():  # repeated rows
-        stay = stay.dropDuplicates([id_col, digest])
-    return stay.select(*names)
+        stay = stay.dropDuplicates(["id", "digest"])
+    return stay.select("row.*")

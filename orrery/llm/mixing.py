@@ -76,40 +76,45 @@ def schedule(lane_rows: DataFrame) -> DataFrame:
     return rows.select(F.get("all", F.col("x.i"))["lane"].alias("lane"), F.col("x.k").alias("k"), "start", "stop", "base", "slots", F.col("x.slot").alias("slot"))
 
 
-def mixed(docs: DataFrame, weights: dict | None = None, power: float = 0.5, block_rows: int = 32, resolution: int = 240, max_lanes: int = 48, source_col: str = "source", id_col: str = "doc_id") -> DataFrame:
-    """docs with lane, slot (of the row's block) and position; sorting by position gives the mixture.
-
-    All rows stay: a source that runs out leaves its slots to the others. Positions are unique; they skip
-    values only at the last, smaller block of a lane. Null is a source of its own. Within a lane, rows
-    follow a hash of their id, then the id; rows of one id follow each other in any order. Given weights
-    of 0, and sources that are not named, share the last lane, as do those beyond max_lanes.
-    """
+def _placed(docs: DataFrame, weights: dict | None, power: float, block_rows: int, resolution: int, max_lanes: int, source_col: str, id_col: str) -> DataFrame:
+    """(row, lane, slot, position); row is a struct of all columns of docs, so that their names never clash."""
     from .shared import written
 
-    names = docs.columns
     table = written(lanes(docs, source_col, weights, power, resolution, max_lanes, block_rows).coalesce(1), "lanes")
     named, rest = table.where("not rest"), table.where("rest").select(F.col("lane").alias("rest_lane"), F.col("n").alias("rest_n"))
-    hashed = F.xxhash64(F.col(id_col).cast("string"), F.lit("mix"))
-    rows = docs.withColumn("__h", hashed)
+    rows = docs.select(F.struct("*").alias("row"), F.col(source_col).alias("of"), F.col(id_col).alias("id"), F.xxhash64(F.col(id_col).cast("string"), F.lit("mix")).alias("h"))
     # Both tables have at most max_lanes + 1 rows.
-    rows = rows.join(F.broadcast(named.select(F.col("source").alias("__s"), F.col("lane").alias("__l"), F.col("n").alias("__n"))), rows[source_col].eqNullSafe(F.col("__s")), "left").join(F.broadcast(rest), F.lit(True), "left")
-    rows = rows.withColumn("__lane", F.coalesce("__l", "rest_lane")).withColumn("__bucket", F.pmod(F.col("__h"), F.ceil(F.coalesce("__n", "rest_n") / ROWS_A_BUCKET))).drop("__s", "__l", "__n", "rest_lane", "rest_n")
-    sizes = rows.groupBy("__lane", "__bucket").agg(F.count("*").alias("size"))
-    ahead = Window.partitionBy("__lane").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("__lane", "__bucket", F.coalesce(F.sum("size").over(ahead), F.lit(0)).alias("__offset"))
-    inside = Window.partitionBy("__lane", "__bucket").orderBy("__h", id_col)
-    rows = rows.withColumn("__seq", F.row_number().over(inside) - 1).join(offsets, ["__lane", "__bucket"]).withColumn("__seq", F.col("__seq") + F.col("__offset"))
+    rows = rows.join(F.broadcast(named.select("source", F.col("lane").alias("own_lane"), F.col("n").alias("own_n"))), F.col("of").eqNullSafe(F.col("source")), "left").join(F.broadcast(rest), F.lit(True), "left")
+    bucket = F.pmod(F.col("h"), F.ceil(F.coalesce("own_n", "rest_n") / ROWS_A_BUCKET))
+    rows = rows.select("row", "id", "h", F.coalesce("own_lane", "rest_lane").alias("lane"), bucket.alias("bucket"))
+    sizes = rows.groupBy("lane", "bucket").agg(F.count("*").alias("size"))
+    ahead = Window.partitionBy("lane").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("lane", "bucket", F.coalesce(F.sum("size").over(ahead), F.lit(0)).alias("offset"))
+    inside = Window.partitionBy("lane", "bucket").orderBy("h", "id")
+    rows = rows.withColumn("seq", F.row_number().over(inside) - 1).join(offsets, ["lane", "bucket"]).select("row", "lane", (F.col("seq") + F.col("offset")).alias("seq"))
     plan = written(schedule(table).join(table.select("lane", "w"), "lane"), "schedule")
-    rows = rows.withColumn("__block", F.floor(F.col("__seq") / block_rows))
     # At most (2 * lanes + 1) * (resolution + lanes) rows, whatever the number of documents.
-    first = plan.select(F.col("lane").alias("__lane"), F.col("w").alias("__w")).distinct()
-    rows = rows.join(F.broadcast(first), "__lane").withColumn("__cycle", F.floor(F.col("__block") / F.col("__w"))).withColumn("__k", F.col("__block") % F.col("__w"))
-    place = F.broadcast(plan.select(F.col("lane").alias("__lane"), F.col("k").alias("__k"), "start", "stop", "base", "slots", F.col("slot").alias("__at")))
-    rows = rows.join(place, ["__lane", "__k"]).where("__cycle >= start and __cycle < stop")
-    slot = F.col("base") + (F.col("__cycle") - F.col("start")) * F.col("slots") + F.col("__at")
-    return rows.select(*names, F.col("__lane").alias("lane"), slot.alias("slot"), (slot * block_rows + F.col("__seq") % block_rows).alias("position"))
+    rows = rows.withColumn("block", F.floor(F.col("seq") / block_rows)).join(F.broadcast(plan.select("lane", "w").distinct()), "lane")
+    rows = rows.select("row", "lane", "seq", F.floor(F.col("block") / F.col("w")).alias("cycle"), (F.col("block") % F.col("w")).alias("k"))
+    place = F.broadcast(plan.select("lane", "k", "start", "stop", "base", "slots", F.col("slot").alias("at")))
+    rows = rows.join(place, ["lane", "k"]).where("cycle >= start and cycle < stop")
+    slot = F.col("base") + (F.col("cycle") - F.col("start")) * F.col("slots") + F.col("at")
+    return rows.select("row", "lane", slot.alias("slot"), (slot * block_rows + F.col("seq") % block_rows).alias("position"))
+
+
+def mixed(docs: DataFrame, weights: dict | None = None, power: float = 0.5, block_rows: int = 32, resolution: int = 240, max_lanes: int = 48, source_col: str = "source", id_col: str = "doc_id") -> DataFrame:
+    """docs with lane, slot (of the row's block) and position; sorting by position gives the mixture.
+
+    All rows stay: a source that runs out leaves its slots to the others. Positions are unique; they skip
+    values only at the last, smaller block of a lane. Null is a source of its own. Within a lane, rows
+    follow a hash of their id, then the id; rows of one id follow each other in any order. Given weights
+    of 0, and sources that are not named, share the last lane, as do those beyond max_lanes. Columns of
+    docs that are named lane, slot or position give way to the new ones. No rows give none.
+    """
+    names = [f"row.`{c}`" for c in docs.columns if c.lower() not in ("lane", "slot", "position")]
+    return _placed(docs, weights, power, block_rows, resolution, max_lanes, source_col, id_col).select(*names, "lane", "slot", "position")
 
 
-def in_order(docs: DataFrame, **options) -> DataFrame:
+def in_order(docs: DataFrame, weights: dict | None = None, power: float = 0.5, block_rows: int = 32, resolution: int = 240, max_lanes: int = 48, source_col: str = "source", id_col: str = "doc_id") -> DataFrame:
     """The rows of docs, all columns, sorted into the mixture; parts hold ranges of positions."""
-    return mixed(docs, **options).orderBy("position").select(*docs.columns)
+    return _placed(docs, weights, power, block_rows, resolution, max_lanes, source_col, id_col).orderBy("position").select("row.*")

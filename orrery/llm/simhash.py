@@ -82,7 +82,7 @@ def links(fps: DataFrame, distance: int = 3) -> DataFrame:
     differ = F.bit_count(F.col("fp").bitwiseXOR(F.col("other")))
     once = (F.col("from") != F.col("cell")) | (F.col("other") < F.col("fp"))
     near = homes.join(looks, "cell").where((F.col("fp") != F.col("other")) & (differ <= distance) & once)
-    return near.select(F.col("other").alias("a"), F.col("fp").alias("b")).distinct()
+    return near.select(F.least("other", "fp").alias("a"), F.greatest("other", "fp").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
