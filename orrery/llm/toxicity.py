@@ -45,14 +45,14 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, ridge: float = 0.05,
     for t in range(1, rounds + 1):
         gaps = np.exp(theta[m + 1 :])
         cuts = theta[m] + np.concatenate([[0.0], np.cumsum(gaps)])
-        line = x @ theta[:m]
+        line = (x @ theta[:m].astype(x.dtype)).astype(np.float64)  # of one type: else x is copied in every round
         below = 1 / (1 + np.exp(-np.clip(cuts[None, :] - line[:, None], -40, 40)))
         edges = np.hstack([np.zeros((n, 1)), below, np.ones((n, 1))])
         slope = edges * (1 - edges)
         p = np.maximum(edges[np.arange(n), y + 1] - edges[np.arange(n), y], 1e-12)
         upper, lower = slope[np.arange(n), y + 1] / p, slope[np.arange(n), y] / p
         by_cut = np.array([upper[y == k].sum() - lower[y == k + 1].sum() for k in range(grades - 1)])
-        grad = np.concatenate([-(x.T @ (upper - lower)) - ridge * theta[:m], [by_cut.sum()], [gaps[j] * by_cut[j + 1 :].sum() for j in range(grades - 2)]]) / n
+        grad = np.concatenate([-((upper - lower).astype(x.dtype) @ x) - ridge * theta[:m], [by_cut.sum()], [gaps[j] * by_cut[j + 1 :].sum() for j in range(grades - 2)]]) / n
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
         theta = theta + rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
     return theta[:m], theta[m] + np.concatenate([[0.0], np.cumsum(np.exp(theta[m + 1 :]))])
