@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, exact_dedup, language, licenses, mixing, neighbours, quality, simhash, token_files, toxicity
-from .shared import scratch, table
+from .shared import scratch, table, written
 
 
 def tokenizer_path(name: str) -> str:
@@ -18,7 +18,7 @@ def tokenizer_path(name: str) -> str:
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "tokens")
     token_files.write_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), path)
-    digests = token_files.token_digests(token_files.read_tokens(spark, path))
+    digests = written(token_files.token_digests(token_files.read_tokens(spark, path)), "token-digests")
     return token_files.token_offsets(digests).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
