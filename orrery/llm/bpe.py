@@ -26,8 +26,8 @@ from .shared import mapped
 
 #: Added to the code point of a word's last symbol, which the vocabulary writes with its word-end suffix.
 LAST = 0x1000
-#: Entries of a worker's caches; they start anew when full.
-CACHE = 600_000
+#: Entries of each of a worker's caches; a full one becomes the older of two.
+CACHE = 100_000
 _ODD_SPACE = regex.compile("[\x1c-\x1f]")
 _SPACE = regex.compile(r"[\p{White_Space}]+")
 
@@ -160,15 +160,19 @@ class Tokenizer:
 
 
 class _Cache(dict):
+    """Results of make by short texts; those not asked for in two generations are forgotten."""
+
     def __init__(self, make) -> None:
         super().__init__()
-        self.make = make
+        self.make, self.older = make, {}
 
     def __missing__(self, key: str):
-        if len(self) >= CACHE:
-            self.clear()
-        out = self.make(key)
+        if (out := self.older.get(key)) is None:
+            out = self.make(key)
         if len(key) <= 64:
+            if len(self) >= CACHE:
+                self.older = dict(self)
+                self.clear()
             self[key] = out
         return out
 
