@@ -7,6 +7,13 @@ of two such points never exceeds the Hamming distance of the halves, so links li
 neighbouring cells of the unit grid. One equi-join on the cell finds the candidates, an exact
 bit count over both halves decides. Points one step apart differ in the parity of their sum, so only
 points of even parity look into neighbouring cells.
+
+A few bits are no measure of similarity: texts that share 0.8 of their shingles differ in 10 of 64 bits on
+average, with a deviation of 3, and pieces of 64 bits small enough for that radius let a good part of all
+pairs through. without_near_copies() therefore adds, to the pairs within `distance`, every pair that shares
+a shingle of its prefixes: of two sets of Jaccard similarity t or more, sorted by one order of all
+shingles, the first m - ceil(t * m) + 1 of each (of its m) have one in common, so no such pair is lost.
+The order puts frequent shingles last. The texts of all pairs are compared exactly.
 """
 
 from __future__ import annotations
@@ -26,14 +33,25 @@ SEED = 42
 SEGMENTS = 16
 
 
-def fingerprint(text: str | None, shingle: int) -> int:
-    """Bit i is set where more than half of the shingles' XXH64 have it; 0 without words."""
+def grams(text: str | None, shingle: int) -> list[bytes]:
+    """The shingles of a text in lower case; all its words where they are fewer, none without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: A-Z and \x20 \x09-\x0D only
-    if not words:
-        return 0
-    grams = [b" ".join(words)] if len(words) < shingle else map(b" ".join, zip(*(words[i:] for i in range(shingle))))
+    if len(words) < shingle:
+        return [b" ".join(words)] if words else []
+    return list(map(b" ".join, zip(*(words[i:] for i in range(shingle)))))
+
+
+def _digests(some: list[bytes]) -> np.ndarray:
     digest, seed = xxhash.xxh64_intdigest, SEED
-    hashes = np.array([digest(g, seed) for g in grams], dtype="<u8")
+    return np.array([digest(g, seed) for g in some], dtype="<u8")
+
+
+def fingerprint(text: str | None, shingle: int) -> int:
+    """Bit i is set where more than half of the shingles' XXH64 have it; 0 without words."""
+    return _majority(_digests(grams(text, shingle)))
+
+
+def _majority(hashes: np.ndarray) -> int:
     set_bits = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 4096):
         part = hashes[i : i + 4096].view(np.uint8).reshape(-1, 8)
@@ -103,8 +121,105 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, id_col
     return fps.join(named, "fp").select(id_col, "fp", "component_id", "n_links")
 
 
-def without_near_copies(docs: DataFrame, shingle: int = 5, distance: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, whose id names their group; one id of each group stays."""
-    found = near_duplicates(docs, shingle, distance, id_col, text_col)
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
+def _frequent(docs: DataFrame, shingle: int, text_col: str, max_rows: int = 20_000, max_grams: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """(digests in order, how often) of shingles found in several of about max_rows texts; only the order of prefixes rests on it."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(_digests(grams(t.as_py(), shingle))).view("<i8"))], names=["gram"])
+
+    total = docs.count()
+    texts = docs.select(F.col(text_col).cast("string").alias("text"))
+    if total > max_rows:
+        texts = texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(max_rows / total * (1 << 20)))
+    seen = mapped(texts, each, "gram bigint").groupBy("gram").agg(F.count("*").alias("n")).where("n > 2")
+    rows = seen.orderBy(F.desc("n"), "gram").limit(max_grams).toArrow()
+    known, n = rows.column("gram").to_numpy().view("<u8"), rows.column("n").to_numpy()
+    order = known.argsort()
+    return known[order], n[order]
+
+
+def _prefixed(docs: DataFrame, shingle: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """(id, text, fp, m, prefix, node): each row with its fingerprint, its number of shingles, its prefix and a number."""
+    known, often = _frequent(docs, shingle, text_col)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps, sizes, prefixes = [], [], []
+            for t in b.column(1):
+                hashes = _digests(grams(t.as_py(), shingle))
+                fps.append(_majority(hashes))
+                own = np.unique(hashes) if len(hashes) else np.zeros(1, "<u8")  # texts without words are alike
+                rank = np.zeros(len(own), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                    rank = np.where(known[at] == own, often[at], 0)
+                keep = len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1
+                sizes.append(len(own))
+                prefixes.append(own[np.lexsort((own, rank))[:keep]].view("<i8"))
+            columns = [b.column(0), b.column(1), pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "text", "fp", "m", "prefix"])
+
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    found = mapped(rows, each, f"id {rows.schema[0].dataType.simpleString()}, text string, fp bigint, m int, prefix array<bigint>")
+    return written(found.withColumn("node", F.monotonically_increasing_id()), "prefixes")
+
+
+def _similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(a, b): the pairs whose sets of shingles have the Jaccard similarity, compared by the shingles themselves."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, known = None, set()
+        for b in batches:
+            alike = []
+            for node, one, two in zip(b.column(0).to_pylist(), b.column(2), b.column(3)):
+                if node != last:
+                    last, known = node, set(grams(one.as_py(), shingle))
+                other = set(grams(two.as_py(), shingle))
+                both = len(known & other)
+                every = len(known) + len(other) - both
+                alike.append(not every or both / every >= similarity)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(alike, pa.bool_()))
+
+    one, two = texts.select(F.col("node").alias("a"), F.col("text").alias("one")), texts.select(F.col("node").alias("b"), F.col("text").alias("two"))
+    return written(mapped(pairs.join(two, "b").join(one, "a").select("a", "b", "one", "two"), each, "a bigint, b bigint"), "similar")
+
+
+def similar_groups(rows: DataFrame, shingle: int, similarity: float, distance: int) -> DataFrame:
+    """(node, root): what each node of _prefixed() reaches over pairs of the similarity; nodes without such a pair are left out.
+
+    First each node meets the least of every list that it stands in (of a fingerprint, of a shingle of its
+    prefix) and fingerprints within `distance` meet. Then all pairs of a list meet that are not joined yet,
+    so that a large group of near copies costs no square of its size.
+    """
+    posts = rows.select("node", "m", F.explode("prefix").alias("gram"))
+    least = F.struct("node", "m")
+    lists = posts.groupBy("gram").agg(F.min(least).alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
+    shared = written(posts.join(lists, "gram"), "shared-shingles")
+    close = lambda x, y: (x >= y * similarity - 1e-6) & (y >= x * similarity - 1e-6)
+    stars = shared.where((F.col("node") != F.col("hub.node")) & close(F.col("m"), F.col("hub.m"))).select(F.col("hub.node").alias("a"), F.col("node").alias("b"))
+    prints = written(rows.groupBy("fp").agg(F.min("node").alias("least")), "prints")
+    same = rows.join(prints, "fp").where("node != least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    ends = links(prints, distance).join(prints.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(prints.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b")
+    tried = written(stars.union(same).union(ends.select(F.least("x", "y"), F.greatest("x", "y"))).distinct(), "pairs")
+    nodes = shared.select("node").union(tried.select("a")).union(tried.select("b")).distinct()
+    texts = written(rows.select("node", "text").join(nodes, "node", "left_semi"), "texts")
+    first = _similar(tried, texts, shingle, similarity)
+    rooted = shared.drop("hub").join(components(first, "a", "b"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    split = rooted.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("gram")
+    rooted = written(rooted.join(split, "gram", "left_semi"), "rooted")
+    other = rooted.select("gram", *(F.col(c).alias(f"{c}2") for c in ("node", "m", "root")))
+    rest = rooted.join(other, "gram").where((F.col("node") < F.col("node2")) & (F.col("root") != F.col("root2")) & close(F.col("m"), F.col("m2")))
+    rest = written(rest.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+    return components(first.union(_similar(rest, texts, shingle, similarity)), "a", "b")
+
+
+def without_near_copies(docs: DataFrame, shingle: int = 5, distance: int = 3, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
+    """The rows of docs, all columns, but those that reach a smaller id over pairs of texts that share
+    `similarity` of their shingles (Jaccard) or more. Rows without an id stay."""
+    rows = _prefixed(docs, shingle, similarity, id_col, text_col)
+    named = written(rows.select("id", "node").join(similar_groups(rows, shingle, similarity, distance), "node"), "groups")
+    kept = named.groupBy("root").agg(F.min("id").alias("component_id"))
+    gone = named.join(kept, "root").where(F.col("id") != F.col("component_id")).select(F.col("id").alias("__gone")).distinct()
     return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
