@@ -16,9 +16,9 @@ BREAKS = "\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F"
 #: Phrases that are counted word by word, with their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Label, gate keyword, and the pattern of a license's name.
+#: Label, gate keywords (one for each way to begin, parted by |), and the pattern of a license's name.
 NAMES = [
-    ("mit", "mit", r"(?:mit|expat|x11)(?:[\s/-]x11)?"),
+    ("mit", "mit|expat|x11", r"(?:mit|expat|x11)(?:[\s/-]x11)?"),
     ("mit-0", "mit", r"mit[\s-]+(?:no[\s-]attribution|0)"),
     ("apache-1.0", "apache", r"apache(?:\s+software)?(?:\s+license)?,?\s*(?:v|version)?\s*1\.0"),
     ("apache-1.1", "apache", r"apache(?:\s+software)?(?:\s+license)?,?\s*(?:v|version)?\s*1\.1"),
@@ -37,7 +37,7 @@ NAMES = [
     ("bsd-2-clause", "bsd", r"(?:simplified\s+bsd|bsd[\s-]+2[\s-]+clause|(?:2|two)[\s-]+clause\s+bsd)"),
     ("bsd-3-clause", "bsd", r"(?:(?:new|modified|revised)\s+bsd|bsd[\s-]+3[\s-]+clause|(?:3|three)[\s-]+clause\s+bsd)"),
     ("bsd-4-clause", "bsd", r"(?:original\s+bsd|bsd[\s-]+4[\s-]+clause|(?:4|four)[\s-]+clause\s+bsd)"),
-    ("0bsd", "bsd", r"(?:0bsd|zero[\s-]+clause\s+bsd)"),
+    ("0bsd", "0bsd|zero", r"(?:0bsd|zero[\s-]+clause\s+bsd)"),
     ("cc-by-4.0", "cc", r"cc[\s-]+by[\s-]+4\.0"),
     ("cc-by-3.0", "cc", r"cc[\s-]+by[\s-]+3\.0"),
     ("cc-by-sa-4.0", "cc", r"cc[\s-]+by-sa[\s-]+4\.0"),
@@ -96,13 +96,13 @@ CUES = ("licen", "spdx", "permission", "redistribution", "rights", "domain", "su
 
 
 def rules() -> list[tuple[str, str, str, int, float]]:
-    """(label, keyword, pattern, rank, confidence), strongest first; patterns stand at word borders."""
+    """(label, keywords, pattern, rank, confidence), strongest first; patterns stand at word borders."""
     found = [(label, key, form.replace("{n}", f"(?:{name})"), rank, sure) for label, key, name in NAMES for form, rank, sure in FORMS]
     return sorted(found + OTHERS, key=lambda r: (-r[3], r[0], r[2]))
 
 
 def _gate(keys: list[str]) -> str:
-    words = sorted({k.replace(" ", r"\s+") for k in keys}, key=lambda k: (-len(k), k))
+    words = sorted({k.replace(" ", r"\s+") for some in keys for k in some.split("|")}, key=lambda k: (-len(k), k))
     return r"(?i)\b(" + "|".join(words) + ")"
 
 
@@ -130,8 +130,8 @@ def detections(text: Column, keys: Column) -> Column:
     overlap, the one of lower rank goes, the later one on equal ranks.
     """
     known = rules()
-    rows = [{"key": k.split(" ")[0], "scan": rf"(?is)\G(.*?)(\b{p}(?!\w))", "pattern": rf"(?is)\b{p}(?!\w)", "rank": rank, "label": label, "sure": sure} for label, k, p, rank, sure in known]
-    table = F.from_json(F.lit(json.dumps(rows)), "array<struct<key:string,scan:string,pattern:string,rank:int,label:string,sure:double>>")
+    rows = [{"keys": [x.split(" ")[0] for x in k.split("|")], "scan": rf"(?is)\G(.*?)(\b{p}(?!\w))", "pattern": rf"(?is)\b{p}(?!\w)", "rank": rank, "label": label, "sure": sure} for label, k, p, rank, sure in known]
+    table = F.from_json(F.lit(json.dumps(rows)), "array<struct<keys:array<string>,scan:string,pattern:string,rank:int,label:string,sure:double>>")
     span = "struct<start:int,stop:int,rank:int,label:string,sure:double>"
 
     def spans(rule: Column) -> Column:
@@ -147,7 +147,7 @@ def detections(text: Column, keys: Column) -> Column:
         nothing = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{span}>").alias("out"))
         return F.aggregate(F.arrays_zip(gaps.alias("0"), hits.alias("1")), nothing, step, lambda at: at["out"])
 
-    found = F.flatten(F.transform(F.filter(table, lambda r: F.array_contains(keys, r["key"]) & F.regexp_like(text, r["pattern"])), spans))
+    found = F.flatten(F.transform(F.filter(table, lambda r: F.arrays_overlap(keys, r["keys"]) & F.regexp_like(text, r["pattern"])), spans))
     ordered = F.array_sort(found, lambda a, b: F.when(a["start"] != b["start"], F.when(a["start"] < b["start"], -1).otherwise(1)).when(a["stop"] != b["stop"], F.when(a["stop"] > b["stop"], -1).otherwise(1)).when(a["rank"] != b["rank"], F.when(a["rank"] > b["rank"], -1).otherwise(1)).when(a["label"] < b["label"], -1).when(a["label"] > b["label"], 1).otherwise(0))
     outer = F.aggregate(ordered, F.struct(F.lit(-1).alias("end"), F.array().cast(f"array<{span}>").alias("out")), lambda at, x: F.when(x["stop"] <= at["end"], at).otherwise(F.struct(x["stop"].alias("end"), F.concat(at["out"], F.array(x)).alias("out"))), lambda at: at["out"])
     last = lambda at: F.get(at, F.size(at) - 1)

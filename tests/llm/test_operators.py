@@ -209,6 +209,51 @@ def test_license_rules(spark, text, labels):
     assert licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["labels"] == labels
 
 
+@pytest.mark.parametrize(("text", "labels"), [
+    ("SPDX-License-Identifier: 0BSD", "0bsd"),
+    ("under the zero-clause BSD license", "0bsd"),
+    ("released under the Expat license", "mit"),
+    ("License: X11", "mit"),
+])
+def test_license_names_have_keywords_of_their_own(spark, text, labels):
+    assert licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["labels"] == labels
+
+
+def samples(pattern):
+    """One text for each way through the alternatives of a rule's pattern; repeats once, optional parts both ways."""
+    import itertools
+    from re import _constants as c
+    from re import _parser
+
+    def each(tokens):
+        out = [""]
+        for op, arg in tokens:
+            if op is c.LITERAL:
+                some = [chr(arg)]
+            elif op is c.IN:
+                some = [{c.CATEGORY_SPACE: " ", c.CATEGORY_WORD: "w"}[arg[0][1]] if arg[0][0] is c.CATEGORY else chr(arg[0][1])]
+            elif op is c.BRANCH:
+                some = [x for branch in arg[1] for x in each(branch)]
+            elif op is c.SUBPATTERN:
+                some = each(arg[3])
+            else:
+                assert op is c.MAX_REPEAT, op
+                one = each(arg[2])
+                some = list(dict.fromkeys([""] * (arg[0] == 0) + one))
+            out = [a + b for a, b in itertools.islice(itertools.product(out, some), 4000)]
+        return out
+
+    return each(_parser.parse(pattern))
+
+
+def test_the_keyword_gate_passes_every_rules_notices(spark):
+    rows = [(i, key, t) for i, (_, key, pattern, _, _) in enumerate(licenses.rules()) for t in samples(pattern)[::7] + samples(pattern)[-1:]]
+    df = spark.createDataFrame(rows, "rule int, key string, text string").withColumn("low", F.lower("text"))
+    out = df.select("rule", "key", "text", licenses.cued(F.col("text"), F.col("low")).alias("cued"), licenses.keywords(F.col("text"), F.col("low")).alias("found")).collect()
+    assert {r["rule"] for r in out} == set(range(len(licenses.rules())))
+    assert not [r["text"] for r in out if not r["cued"] or not {k.split(" ")[0] for k in r["key"].split("|")} & set(r["found"])]
+
+
 def test_a_stronger_license_rule_suppresses_what_lies_within_it(spark):
     found = licenses.scan(spark.createDataFrame([(1, "x is licensed under the MIT License.")], "doc_id long, text string")).first()["detections"]
     assert [(d["start"], d["stop"], d["label"], d["rank"]) for d in found] == [(5, 35, "mit", 90)]
