@@ -1,105 +1,114 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Each source is a lane of blocks of `block_rows` documents. In a cycle of slots a lane has a whole number
-of blocks, its weight; block k of c is released at slot floor(k * slots / c) and due at ceil((k + 1) *
-slots / c). In every slot the released block with the earliest deadline goes next, so that no lane ever
-deviates from its share by a whole block. A lane that runs out spreads its last blocks over its last
-cycle; from then on the others share by their weights. The cycles between such points are alike, so the
-schedule is made once for each kind of cycle: at most 2 * lanes + 1 kinds of about `resolution` slots,
-however many documents there are.
+Each source is a lane of blocks of `block_rows` documents, whatever the number of sources. In the ideal
+mixture all lanes advance at once, each by its weight, until it runs out; from then on the others share by
+their weights. Lane i of weight w has done min(blocks, w * v) at the moment v, so that slot
+t(v) = sum of min(blocks, w * v) over the lanes is reached. Block k is released at slot floor(t(k / w)) and
+due at ceil(t((k + 1) / w)). In every slot the released block with the earliest deadline goes next: every
+slot's share of the ideal is whole, so all deadlines hold, and no lane ever deviates from its target by a
+whole block. Weights are not rounded. The slots are dealt one after the other on the driver, which holds a
+block for each lane, and are written in stretches of STRETCH slots.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import heapq
+from bisect import bisect_left
+from collections.abc import Iterator
+from itertools import chain, islice
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .shared import scratch
+
 #: Rows of a lane that are numbered together in one window.
 ROWS_A_BUCKET = 1024
+#: Slots that are written at once.
+STRETCH = 1 << 20
+#: A slot's bound this close to a whole number counts as that number.
+CLOSE = 1e-7
 
 
-def lanes(docs: DataFrame, source_col: str, weights: dict | None, power: float, resolution: int, max_lanes: int, block_rows: int) -> DataFrame:
-    """(lane, source, rest, n, w, blocks): at most max_lanes lanes and one that all further sources share.
-
-    Weights are those given, or the number of documents to the given power. A lane's whole-number weight
-    w is its share of `resolution`, at least 1.
-    """
+def lanes(docs: DataFrame, source_col: str, weights: dict | None, power: float) -> pa.Table:
+    """(source, n, weight), heaviest first: a lane for each source, by weights given, or the number of documents to the given power."""
     counts = docs.groupBy(F.col(source_col).alias("source")).agg(F.count("*").alias("n"))
     if weights:
         given = F.create_map(*(F.lit(x) for pair in weights.items() for x in pair))
         counts = counts.withColumn("weight", F.coalesce(F.element_at(given, F.col("source").cast("string")), F.lit(0.0)).cast("double"))
     else:
         counts = counts.withColumn("weight", F.pow(F.col("n").cast("double"), F.lit(power)))
-    top = counts.where("weight > 0").orderBy(F.desc("weight"), F.asc_nulls_first("source")).limit(max_lanes)
-    top = top.withColumn("lane", F.row_number().over(Window.orderBy(F.desc("weight"), F.asc_nulls_first("source"))) - 1)
-    sums = counts.agg(F.sum("n").alias("n"), F.sum("weight").alias("weight"))
-    own = top.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("own_n"), F.coalesce(F.sum("weight"), F.lit(0.0)).alias("own_weight"), F.count("*").alias("lanes"))
-    rest = sums.join(own).where("n > own_n").select(F.col("lanes").cast("int").alias("lane"), (F.col("n") - F.col("own_n")).alias("n"), (F.col("weight") - F.col("own_weight")).alias("weight"), F.lit(True).alias("rest"))
-    every = top.withColumn("rest", F.lit(False)).unionByName(rest, allowMissingColumns=True)
-    share = F.col("weight") / F.greatest(F.sum("weight").over(Window.partitionBy(F.lit(0))), F.lit(1e-300))
-    return every.select("lane", "source", "rest", "n", F.greatest(F.lit(1), F.round(share * resolution)).cast("bigint").alias("w"), F.ceil(F.col("n") / block_rows).alias("blocks"))
-
-
-def _fit(w: Column, blocks: Column, start: Column) -> Column:
-    return F.greatest(F.lit(0), F.least(w, blocks - start * w))
-
-
-def schedule(lane_rows: DataFrame) -> DataFrame:
-    """(lane, k, start, stop, base, slots, slot, w, blocks): where block k of a cycle in [start, stop) goes.
-
-    A block's global slot is base + (cycle - start) * slots + slot.
-    """
-    plan = lane_rows.agg(F.array_sort(F.collect_list(F.struct("lane", "w", "blocks"))).alias("all"))
-    ends = F.transform("all", lambda x: F.floor(x["blocks"] / x["w"]))
-    points = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0).cast("bigint")), ends, F.transform(ends, lambda e: e + 1))))
-    kinds = plan.select("all", F.posexplode(points).alias("i", "start"), points.alias("points")).withColumn("stop", F.get("points", F.col("i") + 1)).where("stop is not null")
-    kinds = kinds.withColumn("c", F.transform("all", lambda x: _fit(x["w"], x["blocks"], F.col("start")))).withColumn("slots", F.aggregate("c", F.lit(0).cast("bigint"), lambda a, x: a + x)).where("slots > 0")
-    before = Window.orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    kinds = kinds.withColumn("base", F.coalesce(F.sum((F.col("stop") - F.col("start")) * F.col("slots")).over(before), F.lit(0)))
-
-    def released(done: Column, at: Column) -> Column:
-        """The released lane of earliest deadline in slot `at`, where lane i has had done[i] blocks."""
-        each = F.transform(F.col("c"), lambda c, i: F.struct(F.ceil(F.try_divide((F.get(done, i) + 1) * F.col("slots"), c)).alias("due"), i.alias("i"), ((F.get(done, i) < c) & (F.get(done, i) * F.col("slots") < (at + 1) * c)).alias("open")))
-        return F.array_min(F.filter(each, lambda x: x["open"]))["i"]
-
-    def step(state: Column, at: Column) -> Column:
-        lane = released(state["done"], at)
-        k = F.get(state["done"], lane)
-        return F.struct(
-            F.transform(state["done"], lambda d, i: d + F.when(i == lane, 1).otherwise(0)).alias("done"),
-            F.concat(state["out"], F.array(F.struct(lane.alias("i"), k.alias("k"), at.alias("slot")))).alias("out"),
-        )
-
-    start = F.struct(F.transform("c", lambda c: F.lit(0).cast("bigint")).alias("done"), F.array().cast("array<struct<i:int,k:bigint,slot:bigint>>").alias("out"))
-    slots = F.aggregate(F.sequence(F.lit(0).cast("bigint"), F.col("slots") - 1), start, step, lambda s: s["out"])
-    rows = kinds.select("all", "start", "stop", "base", "slots", F.explode(slots).alias("x"))
-    return rows.select(F.get("all", F.col("x.i"))["lane"].alias("lane"), F.col("x.k").alias("k"), "start", "stop", "base", "slots", F.col("x.slot").alias("slot"))
-
-
-def _placed(docs: DataFrame, weights: dict | None, power: float, block_rows: int, resolution: int, max_lanes: int, source_col: str, id_col: str) -> DataFrame:
+    return counts.withColumn("weight", F.greatest("weight", F.lit(0.0))).orderBy(F.desc("weight"), F.asc_nulls_first("source")).toArrow()
+
+
+def slots(weights: list[float], blocks: list[int]) -> Iterator[tuple[int, int]]:
+    """(lane, block) of every slot in turn; all weights are above 0."""
+    w, n = np.array(weights, np.float64), np.array(blocks, np.float64)
+    ends = n / w
+    order = np.argsort(ends, kind="stable")
+    at = ends[order]
+    done = np.concatenate([[0.0], np.cumsum(n[order])])  # blocks of the lanes that have run out
+    rate = np.concatenate([np.cumsum(w[order][::-1])[::-1], [0.0]])  # weight of the others
+    at_list, done_list, rate_list = at.tolist(), done.tolist(), rate.tolist()
+
+    def slot(v: float) -> float:
+        i = bisect_left(at_list, v)
+        return done_list[i] + rate_list[i] * v
+
+    def window(lane: int, k: int) -> tuple[int, int]:
+        start, stop = slot(k / weights[lane]), slot((k + 1) / weights[lane])
+        return int(start + CLOSE), -int(-(stop - CLOSE) // 1)
+
+    waiting, ready = [], []
+    for lane in range(len(blocks)):
+        if blocks[lane]:
+            release, due = window(lane, 0)
+            heapq.heappush(waiting, (release, due, lane, 0))
+    for now in range(sum(blocks)):
+        while waiting and (waiting[0][0] <= now or not ready):
+            _, due, lane, k = heapq.heappop(waiting)
+            heapq.heappush(ready, (due, lane, k))
+        _, lane, k = heapq.heappop(ready)
+        yield lane, k
+        if k + 1 < blocks[lane]:
+            release, due = window(lane, k + 1)
+            heapq.heappush(waiting, (release, due, lane, k + 1))
+
+
+def schedule(spark: SparkSession, weights: list[float], blocks: list[int]) -> DataFrame:
+    """(lane, block, slot) of every block. A lane of weight 0 follows when all others have run out."""
+    path, total = scratch(spark, "schedule"), sum(blocks)
+    first = slots([w for w in weights if w > 0], [n for w, n in zip(weights, blocks) if w > 0])
+    dealt = chain(first, ((lane, k) for lane, w in enumerate(weights) if w <= 0 for k in range(blocks[lane])))
+    for slot in range(0, total or 1, STRETCH):
+        n = min(STRETCH, total - slot)
+        pairs = np.fromiter(chain.from_iterable(islice(dealt, n)), np.int64, 2 * n).reshape(-1, 2)
+        part = pa.table({"lane": pa.array(pairs[:, 0].astype(np.int32)), "block": pa.array(pairs[:, 1]), "slot": pa.array(np.arange(slot, slot + n))})
+        spark.createDataFrame(part).write.mode("append").parquet(path)
+    return spark.read.schema("lane int, block bigint, slot bigint").parquet(path)
+
+
+def _placed(docs: DataFrame, weights: dict | None, power: float, block_rows: int, source_col: str, id_col: str) -> DataFrame:
     """(row, lane, slot, position); row is a struct of all columns of docs, so that their names never clash."""
-    from .shared import written
-
-    table = written(lanes(docs, source_col, weights, power, resolution, max_lanes, block_rows).coalesce(1), "lanes")
-    named, rest = table.where("not rest"), table.where("rest").select(F.col("lane").alias("rest_lane"), F.col("n").alias("rest_n"))
+    spark, table = docs.sparkSession, lanes(docs, source_col, weights, power)
+    weight, n = table.column("weight").to_pylist(), table.column("n").to_pylist()
+    own = sum(w > 0 for w in weight)
+    lane = np.minimum(np.arange(len(weight)), own).astype(np.int32)  # sources of weight 0 share the last one
+    sizes = n[:own] + ([sum(n[own:])] if own < len(n) else [])
+    named = spark.createDataFrame(table.select(["source"]).append_column("lane", pa.array(lane)).append_column("lane_n", pa.array([sizes[i] for i in lane], pa.int64())))
     rows = docs.select(F.struct("*").alias("row"), F.col(source_col).alias("of"), F.col(id_col).alias("id"), F.xxhash64(F.col(id_col).cast("string"), F.lit("mix")).alias("h"))
-    # Both tables have at most max_lanes + 1 rows.
-    rows = rows.join(F.broadcast(named.select("source", F.col("lane").alias("own_lane"), F.col("n").alias("own_n"))), F.col("of").eqNullSafe(F.col("source")), "left").join(F.broadcast(rest), F.lit(True), "left")
-    bucket = F.pmod(F.col("h"), F.ceil(F.coalesce("own_n", "rest_n") / ROWS_A_BUCKET))
-    rows = rows.select("row", "id", "h", F.coalesce("own_lane", "rest_lane").alias("lane"), bucket.alias("bucket"))
-    sizes = rows.groupBy("lane", "bucket").agg(F.count("*").alias("size"))
+    rows = rows.join(named, F.col("of").eqNullSafe(F.col("source")))
+    rows = rows.select("row", "id", "h", "lane", F.pmod(F.col("h"), F.ceil(F.col("lane_n") / ROWS_A_BUCKET)).alias("bucket"))
+    counts = rows.groupBy("lane", "bucket").agg(F.count("*").alias("size"))
     ahead = Window.partitionBy("lane").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("lane", "bucket", F.coalesce(F.sum("size").over(ahead), F.lit(0)).alias("offset"))
+    offsets = counts.select("lane", "bucket", F.coalesce(F.sum("size").over(ahead), F.lit(0)).alias("offset"))
     inside = Window.partitionBy("lane", "bucket").orderBy("h", "id")
     rows = rows.withColumn("seq", F.row_number().over(inside) - 1).join(offsets, ["lane", "bucket"]).select("row", "lane", (F.col("seq") + F.col("offset")).alias("seq"))
-    plan = written(schedule(table).join(table.select("lane", "w"), "lane"), "schedule")
-    # At most (2 * lanes + 1) * (resolution + lanes) rows, whatever the number of documents.
-    rows = rows.withColumn("block", F.floor(F.col("seq") / block_rows)).join(F.broadcast(plan.select("lane", "w").distinct()), "lane")
-    rows = rows.select("row", "lane", "seq", F.floor(F.col("block") / F.col("w")).alias("cycle"), (F.col("block") % F.col("w")).alias("k"))
-    place = F.broadcast(plan.select("lane", "k", "start", "stop", "base", "slots", F.col("slot").alias("at")))
-    rows = rows.join(place, ["lane", "k"]).where("cycle >= start and cycle < stop")
-    slot = F.col("base") + (F.col("cycle") - F.col("start")) * F.col("slots") + F.col("at")
-    return rows.select("row", "lane", slot.alias("slot"), (slot * block_rows + F.col("seq") % block_rows).alias("position"))
+    rows = rows.withColumn("block", F.floor(F.col("seq") / block_rows))
+    rows = rows.join(schedule(spark, weight[:own] + [0.0] * (len(sizes) - own), [-(-x // block_rows) for x in sizes]), ["lane", "block"])
+    return rows.select("row", "lane", "slot", (F.col("slot") * block_rows + F.col("seq") % block_rows).alias("position"))
 
 
 def mixed(docs: DataFrame, weights: dict | None = None, power: float = 0.5, block_rows: int = 32, resolution: int = 240, max_lanes: int = 48, source_col: str = "source", id_col: str = "doc_id") -> DataFrame:
@@ -107,14 +116,15 @@ def mixed(docs: DataFrame, weights: dict | None = None, power: float = 0.5, bloc
 
     All rows stay: a source that runs out leaves its slots to the others. Positions are unique; they skip
     values only at the last, smaller block of a lane. Null is a source of its own. Within a lane, rows
-    follow a hash of their id, then the id; rows of one id follow each other in any order. Given weights
-    of 0, and sources that are not named, share the last lane, as do those beyond max_lanes. Columns of
-    docs that are named lane, slot or position give way to the new ones. No rows give none.
+    follow a hash of their id, then the id; rows of one id follow each other in any order. Sources given
+    weight 0, and those that are not named, share the last lane and come last. Columns of docs that are
+    named lane, slot or position give way to the new ones. No rows give none. resolution and max_lanes
+    are taken for the sake of callers: weights are exact, and every source has a lane.
     """
     names = [f"row.`{c}`" for c in docs.columns if c.lower() not in ("lane", "slot", "position")]
-    return _placed(docs, weights, power, block_rows, resolution, max_lanes, source_col, id_col).select(*names, "lane", "slot", "position")
+    return _placed(docs, weights, power, block_rows, source_col, id_col).select(*names, "lane", "slot", "position")
 
 
 def in_order(docs: DataFrame, weights: dict | None = None, power: float = 0.5, block_rows: int = 32, resolution: int = 240, max_lanes: int = 48, source_col: str = "source", id_col: str = "doc_id") -> DataFrame:
     """The rows of docs, all columns, sorted into the mixture; parts hold ranges of positions."""
-    return _placed(docs, weights, power, block_rows, resolution, max_lanes, source_col, id_col).orderBy("position").select("row.*")
+    return _placed(docs, weights, power, block_rows, source_col, id_col).orderBy("position").select("row.*")

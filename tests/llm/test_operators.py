@@ -275,6 +275,43 @@ def test_mixing_stays_within_one_block_of_the_target(spark):
         assert all(abs(done[s] - w * (at + 1)) < 1 for s, w in (("a", 0.6), ("b", 0.3), ("c", 0.1)))
 
 
+def dealt(blocks, weights):
+    """Asserts that every prefix of the blocks' lanes stays within one block of the ideal, run-outs included."""
+    left, done, ideal = collections.Counter(blocks), dict.fromkeys(weights, 0), dict.fromkeys(weights, 0.0)
+    for at in blocks:
+        done[at] += 1
+        time = 1.0
+        while time > 1e-9:
+            on = [s for s in weights if left[s] - ideal[s] > 1e-9]
+            if not on:
+                break
+            total = sum(weights[s] for s in on)
+            step = min([time] + [(left[s] - ideal[s]) * total / weights[s] for s in on])
+            for s in on:
+                ideal[s] += step * weights[s] / total
+            time -= step
+        assert all(abs(done[s] - ideal[s]) < 1 + 1e-6 for s in weights), at
+
+
+def in_blocks(rows, size):
+    """The sources of the slots, in turn."""
+    slots = collections.defaultdict(set)
+    for r in rows:
+        slots[r["position"] // size].add(r["source"])
+    assert all(len(x) == 1 for x in slots.values()) and sorted(slots) == list(range(len(slots)))
+    return [slots[i].copy().pop() for i in sorted(slots)]
+
+
+def test_mixing_keeps_to_weights_that_no_cycle_of_240_expresses(spark):
+    n = {"hot": 60_000} | {f"s{i}": 6_300 for i in range(19)} | {"tiny": 40}
+    names = F.array(*(F.lit(s) for s, x in n.items() for _ in range(x // 20)))
+    df = spark.range(20 * sum(x // 20 for x in n.values())).select(F.col("id").alias("doc_id"), F.get(names, F.floor(F.col("id") / 20).cast("int")).alias("source"))
+    assert df.count() == sum(n.values())
+    dealt(in_blocks(mixing.mixed(df).collect(), 32), {s: x**0.5 for s, x in n.items()})
+    weights = {s: 1.0 for s in n} | {"hot": 7.1234, "tiny": 0.001}
+    dealt(in_blocks(mixing.mixed(df, weights=weights).collect(), 32), weights)
+
+
 def test_mixing_keeps_all_rows(odd, empty):
     rows = odd.drop("lane")
     out = mixing.mixed(rows, block_rows=2).collect()
