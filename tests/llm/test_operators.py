@@ -312,6 +312,14 @@ def test_mixing_keeps_to_weights_that_no_cycle_of_240_expresses(spark):
     dealt(in_blocks(mixing.mixed(df, weights=weights).collect(), 32), weights)
 
 
+def test_mixing_gives_each_of_many_sources_its_target(spark):
+    df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.format_string("s%d", F.floor(F.sqrt("id"))).alias("source"))
+    out = mixing.mixed(df, block_rows=4).collect()
+    n = collections.Counter(r["source"] for r in out)
+    assert len(out) == 20_000 and len(n) == 142 == len({r["lane"] for r in out})
+    dealt(in_blocks(out, 4), {s: x**0.5 for s, x in n.items()})
+
+
 def test_mixing_keeps_all_rows(odd, empty):
     rows = odd.drop("lane")
     out = mixing.mixed(rows, block_rows=2).collect()
