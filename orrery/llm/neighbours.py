@@ -1,4 +1,8 @@
-"""Approximate nearest neighbours: inverted lists, product-quantised residuals, exact reranking."""
+"""Approximate nearest neighbours: inverted lists, product-quantised residuals, exact reranking.
+
+How many lists a query looks into is measured, not guessed: for TRIED queries the true neighbours are found
+by comparing all vectors, and as many lists are probed as hold GOAL of them.
+"""
 
 from __future__ import annotations
 
@@ -13,6 +17,9 @@ from .shared import ship, written
 
 #: Vectors of a list that are searched together; longer lists are cut into chunks.
 CHUNK = 4096
+#: Queries whose true neighbours are found by brute force, those of the smallest hash, and the part of
+#: these neighbours that the probed lists must hold.
+TRIED, GOAL = 200, 0.95
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -72,11 +79,40 @@ def fit(vectors: DataFrame, lists: int | None, parts: int = 16, codes: int = 128
     return Quantiser(x, lists or int(np.clip(round(total**0.5 / 2), 4, 4096)), parts, codes, seed)
 
 
+def measured_probes(index: DataFrame, asked: DataFrame, model: Quantiser, k: int) -> int:
+    """The fewest lists a query must look into to find GOAL of the true k nearest others of TRIED queries; 0 without any."""
+    tried = asked.orderBy(F.xxhash64("id"), "id").limit(TRIED).toPandas()
+    if not len(tried):
+        return 0
+    asks, x = tried["id"].to_numpy(), np.stack(tried["vec"].to_numpy()).astype(np.float64)
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        far, homes = np.full((len(x), k), np.inf), np.zeros((len(x), k), np.int32)
+        for b in batches:
+            if len(b):
+                d = np.where(b["id"].to_numpy()[None, :] == asks[:, None], np.inf, _nearest(x, np.stack(b["vec"].to_numpy())))
+                d = np.concatenate([far, d], 1)
+                h = np.concatenate([homes, np.broadcast_to(b["home"].to_numpy(), (len(x), len(b)))], 1)
+                best = np.argpartition(d, k - 1, axis=1)[:, :k]
+                far, homes = np.take_along_axis(d, best, 1), np.take_along_axis(h, best, 1)
+        yield pd.DataFrame({"query": np.repeat(np.arange(len(x)), k), "home": homes.ravel(), "far": far.ravel()})
+
+    order = Window.partitionBy("query").orderBy("far")
+    true = index.select("id", "vec", "home").mapInPandas(nearest, "query int, home int, far double").where(F.col("far") < float("inf"))
+    true = true.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).toPandas()
+    if not len(true):
+        return 0
+    place = np.argsort(np.argsort(_nearest(x, model.coarse), axis=1, kind="stable"), axis=1)
+    places = np.sort(place[true["query"], true["home"]])
+    return int(places[int(np.ceil(GOAL * len(places))) - 1]) + 1
+
+
 def search(vectors: DataFrame, queries: Column, k: int = 10, lists: int | None = None, probes: int | None = None, shortlist: int = 64, id_col: str = "vec_id", vec_col: str = "embedding", **options) -> DataFrame:
     """(query_id, rank, id_col, score): each query row's k nearest others found, by Euclidean distance.
 
     Every usable vector is indexed. Of equal vectors only the k + 1 smallest ids can be among the nearest,
-    so further copies are left out without loss. A query looks into its `probes` nearest lists; the
+    so further copies are left out without loss. A query looks into its `probes` nearest lists, by default
+    as many as measured_probes() finds, 8 and three times the root of their number at least; the
     `shortlist` best of each chunk by coded distance are compared exactly. Equal distances go to smaller
     ids. Vectors of another length than the most common one take no part, nor do null ids.
     """
@@ -92,7 +128,6 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, lists: int | None =
     kept = written(rows.select("id", "vec").withColumn("copy", F.row_number().over(alike)).where(F.col("copy") <= k + 1).drop("copy"), "vectors")
     model = fit(kept, lists, **options)
     count = len(model.coarse)
-    reach = min(count, probes or max(8, int(np.ceil(3 * count**0.5))))
 
     def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -102,6 +137,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, lists: int | None =
 
     kind = rows.schema["id"].dataType.simpleString()
     index = written(kept.mapInPandas(coded, f"home int, id {kind}, codes binary, vec array<double>"), "index")
+    reach = min(count, probes or max(8, int(np.ceil(3 * count**0.5)), measured_probes(index, rows.where("asks").select("id", "vec"), model, k)))
     sizes = index.groupBy("home").agg(F.count("*").alias("n"))
     chunks = sizes.select("home", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))  # at most one row for each list
     cells = index.join(F.broadcast(chunks), "home").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).drop("chunks")

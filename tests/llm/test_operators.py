@@ -93,6 +93,24 @@ def test_neighbours_recall_and_exact_scores(spark):
     assert hits >= 0.9 * 300
 
 
+def recall(spark, x, asked, k=10):
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": x.tolist()}))
+    found = neighbours.search(df, F.col("vec_id").isin(asked), k).toPandas().groupby("query_id")["vec_id"].agg(set)
+    hits = 0
+    for q in asked:
+        far = np.sqrt(((x - x[q]) ** 2).sum(1))
+        far[q] = np.inf
+        hits += len(found[q] & set(np.lexsort((np.arange(len(x)), far))[:k].tolist()))
+    print(f"recall {hits / (k * len(asked)):.3f}")
+    return hits / (k * len(asked))
+
+
+def test_neighbours_of_vectors_without_clusters(spark):
+    x = np.random.default_rng(5).normal(0, 1, (10_000, 64))
+    x /= np.sqrt((x**2).sum(1))[:, None]
+    assert recall(spark, x, list(range(0, 10_000, 100))) >= 0.9
+
+
 def test_neighbours_leave_out_unusable_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, [4.0, 4.0]), (8, []), (None, [1.0, 1.0]), (100, [1.0, 4.0]), (200, None)]
