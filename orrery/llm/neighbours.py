@@ -55,6 +55,11 @@ class Quantiser:
         rest = x - self.coarse[home]
         return home, np.stack([_nearest(rest[:, c], b).argmin(1) for c, b in zip(self.cuts, self.books)], 1).astype(np.uint8)
 
+    def errors(self, x: np.ndarray, home: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """How far each vector lies from what its codes stand for."""
+        rest = x - self.coarse[home]
+        return np.sqrt(sum(((rest[:, c] - b[codes[:, i]]) ** 2).sum(1) for i, (c, b) in enumerate(zip(self.cuts, self.books))))
+
     def distances(self, query: np.ndarray, home: int, codes: np.ndarray) -> np.ndarray:
         """Approximate squared distances of a whole query to coded vectors, from one table for each part."""
         rest = query - self.coarse[home]
@@ -113,7 +118,8 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, lists: int | None =
     Every usable vector is indexed. Of equal vectors only the k + 1 smallest ids can be among the nearest,
     so further copies are left out without loss. A query looks into its `probes` nearest lists, by default
     as many as measured_probes() finds, 8 and three times the root of their number at least; the
-    `shortlist` best of each chunk by coded distance are compared exactly. Equal distances go to smaller
+    `shortlist` best of each chunk by coded distance are compared exactly, and then all vectors that may be
+    nearer than the k-th of these, going by how far their codes are off. Equal distances go to smaller
     ids. Vectors of another length than the most common one take no part, nor do null ids.
     """
     spark = vectors.sparkSession
@@ -133,10 +139,10 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, lists: int | None =
         for b in batches:
             if len(b):
                 home, codes = model.encode(np.stack(b["vec"].to_numpy()))
-                yield pd.DataFrame({"home": home.astype(np.int32), "id": b["id"], "codes": [c.tobytes() for c in codes], "vec": b["vec"]})
+                yield pd.DataFrame({"home": home.astype(np.int32), "id": b["id"], "codes": [c.tobytes() for c in codes], "off": model.errors(np.stack(b["vec"].to_numpy()), home, codes), "vec": b["vec"]})
 
     kind = rows.schema["id"].dataType.simpleString()
-    index = written(kept.mapInPandas(coded, f"home int, id {kind}, codes binary, vec array<double>"), "index")
+    index = written(kept.mapInPandas(coded, f"home int, id {kind}, codes binary, off double, vec array<double>"), "index")
     reach = min(count, probes or max(8, int(np.ceil(3 * count**0.5)), measured_probes(index, rows.where("asks").select("id", "vec"), model, k)))
     sizes = index.groupBy("home").agg(F.count("*").alias("n"))
     chunks = sizes.select("home", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))  # at most one row for each list
@@ -154,11 +160,16 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, lists: int | None =
     def compared(key: tuple, cell: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(cell) and len(asks):
-            ids, vecs = cell["id"].to_numpy(), np.stack(cell["vec"].to_numpy())
+            ids, vecs, off = cell["id"].to_numpy(), np.stack(cell["vec"].to_numpy()), cell["off"].to_numpy()
             codes = np.frombuffer(b"".join(cell["codes"]), np.uint8).reshape(len(cell), -1)
             for query, vec in zip(asks["id"], asks["vec"]):
                 far = model.distances(vec, key[0], codes)
-                best = np.argpartition(far, shortlist)[: shortlist + 1] if len(far) > shortlist + 1 else np.arange(len(far))
+                best = np.arange(len(far))
+                if len(far) > max(shortlist, k) + 1:
+                    best = np.argpartition(far, max(shortlist, k))[: max(shortlist, k) + 1]
+                    best = best[ids[best] != query]
+                    last = np.partition(np.sqrt(((vecs[best] - vec) ** 2).sum(1)), k - 1)[k - 1]
+                    best = np.flatnonzero(np.sqrt(far) - off <= last * (1 + 1e-9) + 1e-9)
                 best = best[ids[best] != query]
                 exact = np.sqrt(((vecs[best] - vec) ** 2).sum(1))
                 order = np.lexsort((ids[best], exact))[:k]

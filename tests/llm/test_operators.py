@@ -111,6 +111,14 @@ def test_neighbours_of_vectors_without_clusters(spark):
     assert recall(spark, x, list(range(0, 10_000, 100))) >= 0.9
 
 
+def test_neighbours_within_thousands_of_near_copies(spark):
+    draw = np.random.default_rng(6)
+    x = draw.normal(0, 1, (5000, 64))
+    x[:3000] = x[0] + draw.normal(0, 0.002, (3000, 64))
+    x[3000:4000] = x[4999] + draw.normal(0, 0.01, (1000, 64))
+    assert recall(spark, x, list(range(0, 4000, 100))) >= 0.99
+
+
 def test_neighbours_leave_out_unusable_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, [4.0, 4.0]), (8, []), (None, [1.0, 1.0]), (100, [1.0, 4.0]), (200, None)]
