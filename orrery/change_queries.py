@@ -16,6 +16,7 @@ from orrery.plans import migration
 from orrery.plans.compiler import fetch
 from orrery.plans.request import Request
 from orrery.semantic import store
+from orrery.sources import tables
 from orrery.sources.tables import fetch_all
 from orrery.streaming import history, live
 
@@ -80,8 +81,7 @@ def batch_delete_leaf(s: Store) -> DataFrame:
 
 @made("SELECT count(*) AS count FROM part WHERE p_size > 40 AND p_type <> 'large'")
 def batch_result_count(s: Store) -> DataFrame:
-    after = changes.batch_update(s, "Part", {"type": "large"}, "size > 40").table("part")
-    return changes.outcome(s.table("part"), after, "p_partkey", "count")
+    return changes.matched(s, "Part", "size > 40", result="count")
 
 
 @made("SELECT s_suppkey, s_name, CASE WHEN s_suppkey % 3 = 0 THEN s_acctbal + 1 ELSE s_acctbal END AS s_acctbal FROM supplier UNION ALL SELECT s_suppkey + 1000000, s_name || '-b', s_acctbal FROM supplier WHERE s_suppkey % 3 = 1")
@@ -139,10 +139,7 @@ def m2m_link_change(s: Store) -> DataFrame:
 
 @made("SELECT s.c_custkey AS source_id, t.c_custkey AS target_id FROM customer s JOIN customer t ON s.c_mktsegment = t.c_mktsegment AND t.c_acctbal > s.c_acctbal WHERE t.c_acctbal > 9900")
 def fetched_property(s: Store) -> DataFrame:
-    top = Store(s.spark, s.model, {**s.tables})
-    found = changes.fetched(top, "Customer", "peers")
-    rich = s.table("customer").where("c_acctbal > 9900").select(F.col("c_custkey").alias("target_id"))
-    return found.join(rich, "target_id").select("source_id", "target_id")
+    return changes.fetched(s, "Customer", "peers", where="balance > 9900")
 
 
 @made("SELECT c_custkey + 1000000 AS id, c_name FROM customer WHERE c_custkey < 20 UNION ALL SELECT 2000000 + i, 'twice' FROM range(2) t(i)")
@@ -282,22 +279,22 @@ def _parts(s: Store, n: int) -> DataFrame:
 
 @made("SELECT l_partkey FROM lineitem WHERE l_suppkey = 1 UNION SELECT l_partkey FROM lineitem WHERE l_suppkey = 2")
 def rel_union(s: Store) -> DataFrame:
-    return _parts(s, 1).union(_parts(s, 2)).distinct()
+    return tables.union(_parts(s, 1), _parts(s, 2))
 
 
 @made("SELECT l_partkey FROM lineitem WHERE l_suppkey = 1 INTERSECT SELECT l_partkey FROM lineitem WHERE l_suppkey = 2")
 def rel_intersect(s: Store) -> DataFrame:
-    return _parts(s, 1).intersect(_parts(s, 2))
+    return tables.intersection(_parts(s, 1), _parts(s, 2))
 
 
 @made("SELECT l_partkey FROM lineitem WHERE l_suppkey = 1 EXCEPT SELECT l_partkey FROM lineitem WHERE l_suppkey = 2")
 def rel_minus(s: Store) -> DataFrame:
-    return _parts(s, 1).subtract(_parts(s, 2))
+    return tables.minus(_parts(s, 1), _parts(s, 2))
 
 
 @made("(SELECT l_partkey FROM lineitem WHERE l_suppkey = 1 EXCEPT SELECT l_partkey FROM lineitem WHERE l_suppkey = 2) UNION (SELECT l_partkey FROM lineitem WHERE l_suppkey = 2 EXCEPT SELECT l_partkey FROM lineitem WHERE l_suppkey = 1)")
 def rel_symmetric(s: Store) -> DataFrame:
-    return _parts(s, 1).subtract(_parts(s, 2)).union(_parts(s, 2).subtract(_parts(s, 1)))
+    return tables.symmetric(_parts(s, 1), _parts(s, 2))
 
 
 OLD = Model(
@@ -348,3 +345,149 @@ def migrate_split(s: Store) -> DataFrame:
     target = Model(Entity("Solvent", "solvent", "id", [A("name")]))
     mapping = migration.Mapping("Customer", "Solvent", {"id": F.col("c_custkey"), "name": F.upper("c_name"), "balance": F.col("balance")}, lambda rows: rows.where("balance >= 0").drop("balance"))
     return migration.staged(_old(s), [migration.Stage(middle), migration.Stage(target, [mapping])]).table("solvent")
+
+
+@made("SELECT count(*) AS n, count(s_name) AS named, max(s_acctbal) FILTER (s_suppkey = 9000001) AS a, max(s_acctbal) FILTER (s_suppkey = 9000002) AS b FROM (SELECT s_suppkey, s_name, s_acctbal FROM supplier UNION ALL SELECT 9000001, NULL, 70 UNION ALL SELECT 9000002, NULL, 80)")
+def upsert_nulls(s: Store) -> DataFrame:
+    """A null unique value equals nothing: both rows are added, whole."""
+    old = s.table("supplier").select("s_suppkey", "s_name", "s_acctbal")
+    new = s.spark.createDataFrame([(9_000_001, None, 70.0), (9_000_002, None, 80.0)], old.schema)
+    out = changes.upsert(old, new, ("s_name",), "s_suppkey")
+    return out.agg(F.count("*").alias("n"), F.count("s_name").alias("named"), F.max(F.when(F.col("s_suppkey") == 9_000_001, F.col("s_acctbal"))).alias("a"), F.max(F.when(F.col("s_suppkey") == 9_000_002, F.col("s_acctbal"))).alias("b"))
+
+
+@made("SELECT c_custkey, c_name, c_mktsegment, CASE WHEN c_custkey % 4 = 0 THEN 0.5 ELSE c_acctbal END AS c_acctbal FROM customer UNION ALL SELECT c_custkey + 2000000, c_name, 'OTHER', 0.5 FROM customer WHERE c_custkey % 4 = 1 UNION ALL SELECT c_custkey + 3000000, c_name, NULL, 0.5 FROM customer WHERE c_custkey % 4 = 2")
+def upsert_composite(s: Store) -> DataFrame:
+    """Unique by name and segment together: equal pairs are replaced, pairs that differ or hold a null are added."""
+    old = s.table("customer").select("c_custkey", "c_name", "c_mktsegment", "c_acctbal")
+    new = old.where("c_custkey % 4 < 3").withColumn("c_acctbal", F.lit(0.5))
+    kind = F.col("c_custkey") % 4
+    new = new.withColumn("c_mktsegment", F.when(kind == 1, "OTHER").when(kind == 0, F.col("c_mktsegment")))
+    new = new.withColumn("c_custkey", F.col("c_custkey") + (kind + 1) * 1_000_000)
+    return changes.upsert(old, new, ("c_name", "c_mktsegment"), "c_custkey")
+
+
+@made("SELECT count(*) AS n, count(DISTINCT n_nationkey) AS different FROM (SELECT n_nationkey FROM nation UNION ALL SELECT 1000 + i FROM range(3) t(i))")
+def save_null_keys(s: Store) -> DataFrame:
+    """Inserts without a key get one each."""
+    rows = s.table("nation")
+    add = rows.limit(3).withColumn("n_nationkey", F.lit(None).cast(rows.schema["n_nationkey"].dataType))
+    return changes.save(s, "Nation", add).table("nation").agg(F.count("*").alias("n"), F.count_distinct("n_nationkey").alias("different"))
+
+
+@made("SELECT l_orderkey, l_linenumber FROM lineitem WHERE NOT (l_quantity > 45)")
+def batch_delete_lines(s: Store) -> DataFrame:
+    """Rows whose id is not unique are told apart by the predicate itself."""
+    return changes.batch_delete(s, "Lineitem", "quantity > 45").table("lineitem").select("l_orderkey", "l_linenumber")
+
+
+@made("SELECT p_partkey AS objectID FROM part WHERE p_size > 40")
+def batch_result_ids(s: Store) -> DataFrame:
+    return changes.matched(s, "Part", "size > 40", result="ids")
+
+
+@made("SELECT true AS status")
+def batch_result_status(s: Store) -> DataFrame:
+    return changes.matched(s, "Part", "size > 40")
+
+
+@made("SELECT count(*) AS count FROM part WHERE p_partkey % 2 = 0")
+def outcome_of_versions(s: Store) -> DataFrame:
+    rows = s.table("part")
+    return changes.outcome(rows, rows.withColumn("p_name", F.when(F.col("p_partkey") % 2 == 0, "other").otherwise(F.col("p_name"))), "p_partkey", "count")
+
+
+@made("SELECT s.c_custkey AS source_id, t.c_custkey AS target_id FROM customer s JOIN customer t ON s.c_mktsegment = t.c_mktsegment AND t.c_acctbal > s.c_acctbal WHERE s.c_custkey < 5")
+def fetched_property_of(s: Store) -> DataFrame:
+    return changes.fetched(s, "Customer", "peers", limit_keys=s.table("customer").where("c_custkey < 5").select("c_custkey"))
+
+
+VALID = Model(Entity("Part", "part", "p_partkey", [A("name", column="p_name", validator=lambda c: ~c.startswith("s")), A("shelf", transient=True)]))
+
+
+@made("SELECT p_partkey AS id, 'name' AS attribute, 'validator' AS rule FROM part WHERE starts_with(p_name, 's')")
+def validator_failures(s: Store) -> DataFrame:
+    return changes.violations(Store(s.spark, VALID, s.tables), "Part")
+
+
+@made("SELECT p_partkey AS objectID, 'Part' AS entityName, p_name AS name FROM part")
+def transient_attribute(s: Store) -> DataFrame:
+    return fetch(Store(s.spark, VALID, s.tables), Request("Part", result="objects", sort=("shelf", "name")))
+
+
+@made(LOG + "SELECT DISTINCT 'Part' AS entity, id FROM log")
+def history_ids(s: Store) -> DataFrame:
+    return history.shaped(_log(s), "ids")
+
+
+@made(LOG + "SELECT transaction, make_timestamp(2024, 1, transaction, 0, 0, 0) AS at FROM log GROUP BY 1")
+def history_transactions(s: Store) -> DataFrame:
+    return history.shaped(_log(s), "transactions")
+
+
+@made(LOG + "SELECT transaction, kind, id FROM log")
+def history_changes(s: Store) -> DataFrame:
+    return history.shaped(_log(s), "changes").select("transaction", "kind", "id")
+
+
+@made("SELECT true AS status")
+def history_status(s: Store) -> DataFrame:
+    return history.shaped(_log(s), "status")
+
+
+@made("SELECT max(p_partkey) AS top, count(*) AS n FROM (SELECT p_partkey FROM part UNION ALL SELECT p_partkey + 9000000 FROM part WHERE p_partkey < 3)")
+def merge_remote_inserts(s: Store) -> DataFrame:
+    rows = s.table("part")
+    remote = rows.where("p_partkey % 50 <> 7").unionByName(rows.where("p_partkey < 3").withColumn("p_partkey", F.col("p_partkey") + 9_000_000))
+    return history.merged_inserts(rows, _log(s), remote, "p_partkey", "Part").agg(F.max("p_partkey").alias("top"), F.count("*").alias("n"))
+
+
+EVENTS = Model(
+    Entity("Event", "events", "event_id", [A("value", "double")], abstract=True, discriminator="event_type"),
+    Entity("Click", "events", "event_id", parent="Event", tag="click"), Entity("Purchase", "events", "event_id", parent="Event", tag="purchase"),
+)
+
+
+@made("SELECT event_id AS id, value AS strength FROM events WHERE event_type = 'click'")
+def migrate_subentity(s: Store) -> DataFrame:
+    """A sub-entity as the source gives its own rows, not those of its whole table."""
+    target = Model(Entity("Tap", "tap", "id", [A("strength", "double")]))
+    mapping = migration.Mapping("Click", "Tap", {"id": F.col("event_id"), "strength": F.col("value")})
+    return migration.migrate(Store(s.spark, EVENTS, {"events": s.table("events")}), target, [mapping]).table("tap")
+
+
+@made("SELECT c.c_name AS name, n_name AS nation, true AS small FROM customer c JOIN nation ON c_nationkey = n_nationkey")
+def migrate_new_keys(s: Store) -> DataFrame:
+    """Both tables get new keys, and the to-one between them follows."""
+    target = Model(
+        Entity("Client", "client", "id", [A("name")], [R("nation", "Land", key="land_id")]),
+        Entity("Land", "land", "id", [A("name")]),
+    )
+    maps = [
+        migration.Mapping("Customer", "Client", {"id": F.col("c_custkey"), "name": F.col("c_name"), "land_id": F.col("c_nationkey")}, new_keys=True),
+        migration.Mapping("Nation", "Land", {"id": F.col("n_nationkey") + 500, "name": F.col("n_name")}, new_keys=True),
+    ]
+    maps[0].values["land_id"] = F.col("c_nationkey") + 500
+    out = migration.migrate(_old(s), target, maps, validate=True)
+    rows = out.table("client").alias("c").join(out.table("land").alias("l"), F.col("c.land_id") == F.col("l.id"))
+    small = (F.col("c.id") <= out.table("client").count()) & (F.col("l.id") <= out.table("land").count())
+    return rows.select(F.col("c.name").alias("name"), F.col("l.name").alias("nation"), small.alias("small"))
+
+
+@made("SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_acctbal >= 100")
+def migrate_staged_resume(s: Store) -> DataFrame:
+    """A store that is at the first stage's model already goes on from there: that stage's policy does not run again."""
+    first = Model(Entity("Client", "client", "id", [A("name"), A("balance", "integer32")]))
+    second = Model(Entity("Client", "client", "id", [A("name")]))
+    values = {"id": F.col("c_custkey"), "name": F.col("c_name"), "balance": F.col("balance")}
+    stages = [migration.Stage(first, [migration.Mapping("Customer", "Client", values, lambda rows: rows.where("balance >= 100").withColumn("balance", F.col("balance") - 100))]), migration.Stage(second)]
+    half = migration.staged(_old(s), stages[:1], start=OLD)
+    return migration.staged(half, stages, start=OLD).table("client")
+
+
+@made("SELECT n_nationkey AS id, n_name AS name FROM nation WHERE n_nationkey = 3")
+def migrate_discovered(s: Store) -> DataFrame:
+    """A mapping found by the version hashes of an entity in the two models."""
+    target = Model(Entity("Nation", "land", "id", [A("name")]))
+    known = {(OLD.version_hash("Nation"), target.version_hash("Nation")): [migration.Mapping("Nation", "Nation", {"id": F.col("n_nationkey"), "name": F.col("n_name")}, lambda rows: rows.where("id = 3"))]}
+    return migration.migrate(_old(s), target, migration.discovered(known, OLD, target, "Nation")).table("land")

@@ -50,6 +50,12 @@ def _substring(s: Column, at: Column, size: Column | None = None) -> Column:
     return F.when(at == 0, F.lit("")).otherwise(F.substring(s, at, size if size is not None else F.length(s)))
 
 
+def _regexp_replace(text: Column, pattern: Column, new: Column) -> Column:
+    """References to groups are written \\1 in `new`; a dollar sign is one."""
+    literal = F.replace(new, F.lit("$"), F.lit("\\$"))
+    return F.call_function("regexp_replace", text, pattern, F.call_function("regexp_replace", literal, F.lit(r"\\(\d)"), F.lit(r"\$$1")))
+
+
 def _clock(sign: int) -> Callable[[Column, Column], Column]:
     def shifted(d: Column, clock: Column) -> Column:
         p = F.split(clock, ":")
@@ -70,7 +76,7 @@ FUNCTIONS: dict[str, Callable[..., Column]] = {
     "trunc:": _truncate, "raise:toPower:": F.pow, "random": lambda: F.rand(), "greatest:": _none_null(F.greatest), "least:": _none_null(F.least),
     # text
     "uppercase:": F.upper, "lowercase:": F.lower, "concat:": lambda sep, *a: F.call_function("concat_ws", sep, *a), "substring:": _substring,
-    "replace:": F.replace, "regexpReplace:": lambda s, p, r: F.call_function("regexp_replace", s, p, r), "length:": F.octet_length, "trim:": F.trim,
+    "replace:": F.replace, "regexpReplace:": _regexp_replace, "length:": F.octet_length, "trim:": F.trim,
     "lpad:": lambda s, n, p: F.call_function("lpad", s, n, p), "rpad:": lambda s, n, p: F.call_function("rpad", s, n, p), "left:": F.left, "right:": F.right,
     "instr:": lambda s, x: F.call_function("instr", s, x), "reverse:": F.reverse, "repeat:": lambda s, n: F.call_function("repeat", s, n), "index:": lambda n, *a: F.get(F.array(*a), n - 1),
     # nulls and types

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,7 +27,10 @@ class ModelError(ValueError):
 
 @dataclass(frozen=True)
 class Attribute:
-    """A column. `derived` is an expression text computed on read; `parts` makes a composite of attributes."""
+    """A column. `derived` is an expression text computed on read; `parts` makes a composite of attributes.
+
+    A `transient` attribute has no column and reads as null. `validator` gives a condition that valid values meet.
+    """
 
     name: str
     kind: str = "string"
@@ -41,6 +45,8 @@ class Attribute:
     parts: tuple[Attribute, ...] = ()
     codec: str | None = None
     renamed_from: str | None = None
+    transient: bool = False
+    validator: Callable[[Column], Column] | None = field(default=None, compare=False, repr=False)
 
     @property
     def physical(self) -> str:
@@ -76,6 +82,8 @@ class FetchedProperty:
 
 @dataclass
 class Entity:
+    """`key` is the column of the object's id. Where it is not unique by itself, `identity` lists the columns that are."""
+
     name: str
     table: str
     key: str
@@ -88,6 +96,7 @@ class Entity:
     tag: str | None = None
     unique: list[tuple[str, ...]] = field(default_factory=list)
     renamed_from: str | None = None
+    identity: tuple[str, ...] = ()
 
 
 class Model:
@@ -144,6 +153,10 @@ class Model:
         every = sorted(e.tag or e.name for e in self.heirs(top) if not e.abstract)
         return None if tags == every and entity is top else tags
 
+    def checksum(self) -> str:
+        """Equal for models under which the same tables can be read."""
+        return hashlib.sha256(json.dumps(sorted(self.version_hash(n) for n in self.entities)).encode()).hexdigest()
+
     def version_hash(self, name: str) -> str:
         """Changes with anything that a migration must notice about an entity."""
         e = self[name]
@@ -191,5 +204,5 @@ def coerced(df: DataFrame, model: Model, entity: Entity) -> DataFrame:
             c = c if fill is None else F.coalesce(c, F.lit(fill).cast(KINDS[a.kind]))
         return c.alias(a.physical)
 
-    known = {a.physical: a for a in model.attributes(entity) if not a.derived and not a.parts}
+    known = {a.physical: a for a in model.attributes(entity) if not a.derived and not a.parts and not a.transient}
     return df.select(*(value(known[c]) if c in known else F.col(c) for c in df.columns))

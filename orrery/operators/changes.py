@@ -11,13 +11,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.model import Attribute, Entity, ModelError, Store
-from orrery.operators.expressions import expression, predicate
+from orrery.operators.expressions import predicate
 from orrery.plans.compiler import Plan
-from orrery.plans.request import Request, Named
 
 
 def _key(store: Store, entity: Entity) -> str:
-    return store.model.root(entity).key
+    top = store.model.root(entity)
+    if top.identity:
+        raise ModelError(f"rows of {top.name} are told apart by {', '.join(top.identity)}, not by {top.key} alone")
+    return top.key
 
 
 def _table(store: Store, entity: Entity) -> str:
@@ -26,26 +28,50 @@ def _table(store: Store, entity: Entity) -> str:
 
 def matching(store: Store, entity_name: str, tree, *args) -> DataFrame:
     """The keys of an entity's rows for which a predicate is true, one each."""
+    entity = store.model[entity_name]
+    _key(store, entity)
+    plan = Plan(store, entity)
+    plan.restrict(predicate(tree, *args))
+    return plan.df.select(plan.key_column().alias("__key")).distinct()
+
+
+def matched(store: Store, entity_name: str, tree=True, *args, result: str = "status") -> DataFrame:
+    """What a batch change of the rows that meet a predicate reports: status, their ids (objectID), or their count.
+
+    Rows count whether the change alters their values or not.
+    """
     plan = Plan(store, store.model[entity_name])
-    condition = plan.test(predicate(tree, *args))
-    return plan.df.where(condition).select(plan.key_column().alias("__key")).distinct()
+    if tree is not True:
+        plan.restrict(predicate(tree, *args))
+    if result == "ids":
+        return plan.df.select(plan.key_column().alias("objectID"))
+    count = plan.df.agg(F.count("*").alias("count"))
+    return count if result == "count" else count.select(F.lit(True).alias("status"))
 
 
-def numbered(rows: DataFrame, key: str, after: DataFrame, buckets: int = 64) -> DataFrame:
+def numbered(rows: DataFrame, key: str, after: DataFrame) -> DataFrame:
     """rows with null keys replaced by numbers above the largest key of `after`, without gaps.
 
-    Rows are numbered within hash buckets and the buckets one after another, so no task sees all rows.
+    The rows are written once; each part is numbered from where the one before it ends, so that no task
+    sees more than its own part, however many rows are equal.
     """
-    given, open_rows = rows.where(F.col(key).isNotNull()), rows.where(F.col(key).isNull())
-    others = [c for c in rows.columns if c != key]
-    parts = open_rows.withColumn("__b", F.pmod(F.xxhash64(*others), F.lit(buckets)))
-    counts = parts.groupBy("__b").agg(F.count("*").alias("__n"))
-    offsets = counts.select("__b", F.coalesce(F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__o"))
-    top = after.select(key).unionByName(given.select(key)).agg(F.coalesce(F.max(key), F.lit(0)).alias("__top"))
-    inside = Window.partitionBy("__b").orderBy(*others)
-    made = parts.withColumn("__r", F.row_number().over(inside)).join(offsets, "__b").join(F.broadcast(top))  # top has one row
-    kind = rows.schema[key].dataType
-    return given.unionByName(made.withColumn(key, (F.col("__top") + F.col("__o") + F.col("__r")).cast(kind)).select(*rows.columns))
+    from orrery.sources.tables import cut
+
+    given, others = rows.where(F.col(key).isNotNull()), [c for c in rows.columns if c != key]
+    placed = cut(rows.where(F.col(key).isNull()).select(*others, F.monotonically_increasing_id().alias("__at")))
+    part = F.shiftright("__at", 33)
+    sizes = {r["p"]: r["n"] for r in placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}  # a number for each part
+    if not sizes:
+        return given
+    top = after.select(key).unionByName(given.select(key)).agg(F.max(key)).first()[0] or 0
+    starts, kind = [], rows.schema[key].dataType
+    for p in sorted(sizes):
+        starts.append((p, top + 1))
+        top += sizes[p]
+    base = placed.sparkSession.createDataFrame(starts, "__p bigint, __start bigint")
+    inside = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    made = placed.withColumn("__p", part).join(F.broadcast(base), "__p")  # a row for each part
+    return given.unionByName(made.withColumn(key, (F.col("__start") + inside).cast(kind)).select(*rows.columns))
 
 
 def batch_insert(store: Store, entity_name: str, rows: DataFrame | Iterable[dict] | Callable[[], Iterator[dict]]) -> Store:
@@ -53,7 +79,7 @@ def batch_insert(store: Store, entity_name: str, rows: DataFrame | Iterable[dict
     entity = store.model[entity_name]
     if entity.abstract:
         raise ModelError(f"{entity_name} is abstract")
-    table, key = _table(store, entity), _key(store, entity)
+    table = _table(store, entity)
     old = store.table(table)
     if not isinstance(rows, DataFrame):
         found = list(rows() if callable(rows) else rows)
@@ -62,44 +88,52 @@ def batch_insert(store: Store, entity_name: str, rows: DataFrame | Iterable[dict
     if top.discriminator:
         rows = rows.withColumn(top.discriminator, F.lit(entity.tag or entity.name))
     new = rows.select(*((F.col(c) if c in rows.columns else F.lit(None)).cast(old.schema[c].dataType).alias(c) for c in old.columns))
-    return store.with_tables(**{table: old.unionByName(numbered(new, key, old))})
+    if top.identity:  # such rows bring their own values
+        return store.with_tables(**{table: old.unionByName(new)})
+    return store.with_tables(**{table: old.unionByName(numbered(new, top.key, old))})
+
+
+def _hit(plan: Plan, tree, args: tuple) -> Column:
+    """Whether a row of plan, which reads a whole table, is one of its entity's that meet a predicate; never null."""
+    condition = F.lit(True) if tree is True else plan.test(predicate(tree, *args))
+    tags = plan.model.tags(plan.entity)
+    if tags is not None:
+        condition = condition & F.col(f"{plan.alias}__{plan.model.root(plan.entity).discriminator}").isin(tags)
+    return F.coalesce(condition, F.lit(False))
 
 
 def batch_update(store: Store, entity_name: str, changes: dict[str, object], tree=True, *args) -> Store:
     """Sets attributes of the rows that meet a predicate: to constants, or to expressions given as `expression()` trees."""
     entity = store.model[entity_name]
-    table, key = _table(store, entity), _key(store, entity)
+    table = _table(store, entity)
     old = store.table(table)
     plan = Plan(store, entity, rows=old)
-    condition = F.lit(True) if tree is True else plan.test(predicate(tree, *args))
-    tags = store.model.tags(entity)
-    if tags is not None:
-        condition = condition & F.col(f"{plan.alias}__{store.model.root(entity).discriminator}").isin(tags)
+    hit = _hit(plan, tree, args)
     new = {}
     for name, given in changes.items():
         a = store.model.attribute(entity, name)
         relation = store.model.relationship(entity, name)
         column = a.physical if a else relation.key if relation else None
-        if column is None or (a and a.derived):
+        if column is None or (a and (a.derived or a.transient)):
             raise ModelError(f"{name} cannot be set")
         literal = given is None or isinstance(given, (str, int, float, bool))
         new[column] = (F.lit(given) if literal else plan.value(given)).cast(old.schema[column].dataType)
-    hit = F.coalesce(condition, F.lit(False))
     rows = plan.df.select(*((F.when(hit, new[c]).otherwise(F.col(f"r__{c}")) if c in new else F.col(f"r__{c}")).alias(c) for c in old.columns))
     return store.with_tables(**{table: rows})
 
 
 def batch_delete(store: Store, entity_name: str, tree=True, *args) -> Store:
-    """Removes rows that meet a predicate; rows for which it is null stay. No delete rules run."""
+    """Removes rows that meet a predicate; rows for which it is null stay. No delete rules run, and no key is needed."""
     entity = store.model[entity_name]
-    table, key = _table(store, entity), _key(store, entity)
-    keys = matching(store, entity_name, "TRUEPREDICATE" if tree is True else tree, *args)
+    table = _table(store, entity)
     old = store.table(table)
-    return store.with_tables(**{table: old.join(keys, old[key] == F.col("__key"), "left_anti")})
+    plan = Plan(store, entity, rows=old)
+    hit = _hit(plan, tree, args)
+    return store.with_tables(**{table: plan.df.where(~hit).select(*(F.col(f"r__{c}").alias(c) for c in old.columns))})
 
 
 def outcome(before: DataFrame, after: DataFrame, key: str, result: str = "status") -> DataFrame:
-    """What a batch change did: status, the ids of changed rows, or their count."""
+    """How two versions of a table differ: status, the ids of rows that do, or their count. matched() is cheaper where the predicate is known."""
     from orrery.streaming.history import difference
 
     changed = difference(before, after, key).select(F.col("id").alias("objectID"))
@@ -112,23 +146,32 @@ def outcome(before: DataFrame, after: DataFrame, key: str, result: str = "status
 def upsert(old: DataFrame, new: DataFrame, unique: tuple[str, ...], key: str, order: str | None = None) -> DataFrame:
     """New rows replace old ones of equal unique columns, which keep their key; the others are added.
 
-    Of new rows with equal unique columns the last by `order` (else by key) counts.
+    The columns count as a tuple. A null in it equals nothing, so rows with one are all added. Of new rows
+    with equal unique columns the last by `order` (else by key) counts.
     """
+    whole = F.lit(True)
+    for u in unique:
+        whole = whole & F.col(u).isNotNull()
     last = Window.partitionBy(*unique).orderBy(F.col(order or key).desc_nulls_last(), F.col(key).desc_nulls_last())
-    fresh = new.withColumn("__r", F.row_number().over(last)).where("__r = 1").select(*old.columns)
+    fresh = new.where(whole).withColumn("__r", F.row_number().over(last)).where("__r = 1").select(*old.columns, F.lit(True).alias("__there"))
     a, b = old.alias("a"), fresh.alias("b")
     same = [F.col(f"a.{u}") == F.col(f"b.{u}") for u in unique]
-    rows = a.join(b, same, "full_outer")
-    there = F.col(f"b.{unique[0]}").isNotNull()
-    return rows.select(*((F.coalesce(F.col(f"a.{c}"), F.col(f"b.{c}")) if c == key else F.when(there, F.col(f"b.{c}")).otherwise(F.col(f"a.{c}"))).alias(c) for c in old.columns))
+    rows, there = a.join(b, same, "full_outer"), F.coalesce(F.col("b.__there"), F.lit(False))
+    met = rows.select(*((F.coalesce(F.col(f"a.{c}"), F.col(f"b.{c}")) if c == key else F.when(there, F.col(f"b.{c}")).otherwise(F.col(f"a.{c}"))).alias(c) for c in old.columns))
+    return met.unionByName(new.where(~whole).select(*old.columns))
 
 
 def updated(old: DataFrame, deltas: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Columns of old taken from the delta row of equal key, where there is one. Keys of deltas are unique."""
-    d = deltas.select(F.col(key).alias("__k"), *(F.col(c).alias(f"__{c}") for c in columns))
+    """Columns of old taken from the delta row of equal key, where there is one. A key with several delta rows is an error."""
+    if not columns:
+        return old
+    value = F.struct(*(F.col(c).alias(f"__{c}") for c in columns))
+    d = deltas.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__k")).agg(F.count("*").alias("__n"), F.any_value(value).alias("__new"))
+    twice = F.raise_error(F.concat(F.lit("several changes of "), F.col("__k").cast("string")))
+    d = d.select("__k", F.when(F.col("__n") > 1, twice).otherwise(F.col("__new")).alias("__new"))
     rows = old.join(d, old[key] == F.col("__k"), "left")
     hit = F.col("__k").isNotNull()
-    return rows.select(*((F.when(hit, F.col(f"__{c}")).otherwise(F.col(c)) if c in columns else F.col(c)).alias(c) for c in old.columns))
+    return rows.select(*((F.when(hit, F.col(f"__new.__{c}")).otherwise(F.col(c)) if c in columns else F.col(c)).alias(c) for c in old.columns))
 
 
 def save(store: Store, entity_name: str, inserts: DataFrame | None = None, updates: DataFrame | None = None, deletes: DataFrame | None = None, version: str | None = None) -> Store:
@@ -138,7 +181,7 @@ def save(store: Store, entity_name: str, inserts: DataFrame | None = None, updat
     rows = store.table(table)
     if inserts is not None:
         fresh = inserts.withColumn(version, F.lit(1).cast(rows.schema[version].dataType)) if version else inserts
-        rows = upsert(rows, fresh.select(*rows.columns), (key,), key)
+        rows = upsert(rows, numbered(fresh.select(*rows.columns), key, rows), (key,), key)
     if updates is not None:
         columns = [c for c in updates.columns if c not in (key, version)]
         rows = updated(rows, updates, key, columns)
@@ -175,8 +218,8 @@ def delete(store: Store, entity_name: str, tree, *args, check: bool = True) -> S
     while pending:
         name, keys = pending.pop(0)
         entity = store.model[name]
-        if check and not (denied := denials(store, name, keys)).isEmpty():
-            raise ModelError(f"denied by {denied.first()['relationship']}")
+        if check and (denied := denials(store, name, keys).limit(1).collect()):
+            raise ModelError(f"denied by {denied[0]['relationship']}")
         for e in store.model.line(entity):
             for r in e.relationships:
                 if r.bridge:
@@ -184,15 +227,16 @@ def delete(store: Store, entity_name: str, tree, *args, check: bool = True) -> S
                 target = store.model[r.target]
                 if not r.inverse_key:
                     continue
-                rows, target_key = store.table(_table(store, target)), _key(store, target)
+                rows, target_key = store.table(_table(store, target)), store.model.root(target).key
                 if r.delete_rule == "cascade" and r.many:
                     members = rows.join(keys, rows[r.inverse_key] == F.col("__key"), "left_semi").select(F.col(target_key).alias("__key"))
                     if target is entity:
+                        known = 0
                         while True:
                             wider = cut(keys.unionByName(members).distinct())
-                            if wider.count() == keys.count():
+                            if (n := wider.count()) == known:
                                 break
-                            keys = wider
+                            keys, known = wider, n
                             members = rows.join(keys, rows[r.inverse_key] == F.col("__key"), "left_semi").select(F.col(target_key).alias("__key"))
                     else:
                         deeper = [x for x in store.model.line(target) for x in x.relationships if x.inverse_key]
@@ -216,11 +260,11 @@ def linked(pairs: DataFrame, add: DataFrame | None = None, remove: DataFrame | N
 
 
 def violations(store: Store, entity_name: str) -> DataFrame:
-    """(id, attribute, rule): rows that break a required value, a bound (of text: its length) or a pattern."""
+    """(id, attribute, rule): rows that break a required value, a bound (of text: its length), a pattern or a validator."""
     entity = store.model[entity_name]
     plan, found = Plan(store, entity), []
     for a in store.model.attributes(entity):
-        if a.derived or a.parts:
+        if a.derived or a.parts or a.transient:
             continue
         c = plan.path((a.name,))
         size = F.length(c) if a.kind == "string" else c
@@ -231,6 +275,8 @@ def violations(store: Store, entity_name: str) -> DataFrame:
             rules.append(("minimum", size < a.minimum))
         if a.maximum is not None:
             rules.append(("maximum", size > a.maximum))
+        if a.validator is not None:
+            rules.append(("validator", ~a.validator(c)))
         if a.pattern is not None:
             rules.append(("pattern", ~c.rlike(f"^(?:{a.pattern})$")))
         found += [F.when(F.coalesce(broken, F.lit(False)), F.struct(F.lit(a.name).alias("attribute"), F.lit(rule).alias("rule"))) for rule, broken in rules]
@@ -249,8 +295,11 @@ def decoded(df: DataFrame, attribute: Attribute, codecs: dict) -> DataFrame:
     return df.withColumn(attribute.physical, codecs[attribute.codec][1](F.col(attribute.physical)))
 
 
-def fetched(store: Store, entity_name: str, property_name: str, limit_keys: DataFrame | None = None) -> DataFrame:
-    """(source_id, target_id): a fetched property for every row of its entity, as one join on its equal terms."""
+def fetched(store: Store, entity_name: str, property_name: str, limit_keys: DataFrame | None = None, where=None) -> DataFrame:
+    """(source_id, target_id): a fetched property for every row of its entity, as one join on its equal terms.
+
+    limit_keys (its first column) names the rows to ask for, where the targets to look at; both hold before the join.
+    """
     from orrery.operators.expressions import And, Compare, Path
 
     entity = store.model[entity_name]
@@ -278,6 +327,11 @@ def fetched(store: Store, entity_name: str, property_name: str, limit_keys: Data
             else:
                 sides.append(("t", node))
         conditions.append((t.op, sides))
+    if limit_keys is not None:
+        asked = limit_keys.select(F.col(limit_keys.columns[0]).alias("__asked"))
+        source.df = source.df.join(asked, source.key_column() == F.col("__asked"), "left_semi")
+    if where is not None:
+        target.restrict(predicate(where))
     left = source.df.select(source.key_column().alias("source_id"), *(c.alias(n) for n, c in wanted.items()))
     ops = {"==": lambda a, b: a == b, "!=": lambda a, b: a != b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}
     built = [ops[op](*(F.col(x) if kind == "s" else target.value(x) for kind, x in sides)) for op, sides in conditions]
@@ -285,5 +339,3 @@ def fetched(store: Store, entity_name: str, property_name: str, limit_keys: Data
         raise ModelError("a fetched property needs an equal term to join on")
     return left.join(target.df.withColumn("target_id", target.key_column()), built).select("source_id", "target_id")
 
-
-__all__ = ["Named", "Request", "batch_delete", "batch_insert", "batch_update", "delete", "denials", "expression", "fetched", "linked", "matching", "numbered", "outcome", "save", "updated", "upsert", "violations"]

@@ -1,29 +1,36 @@
 """From fetch requests to DataFrame plans.
 
 A Plan grows one DataFrame: columns are named alias__column, a to-one hop of a key path adds one left
-join (once for each path), and whatever concerns a to-many is aggregated by its key before it is joined.
-Existence tests join distinct keys, so that they work under OR and NOT too. No join multiplies rows.
+join (once for each path), and whatever concerns a to-many is aggregated by its key before it is joined
+(once for each path and test). Existence tests that every row must pass are semi and anti joins; under OR
+they join distinct keys and test for a match. No join multiplies rows.
 """
 
 from __future__ import annotations
 
+import unicodedata
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.functions.library import AGGREGATES, CONSTANT_FUNCTIONS, FUNCTIONS
-from orrery.model import Attribute, Entity, ModelError, Relationship, Store
-from orrery.operators.expressions import FLIPPED, And, Call, Compare, If, Not, Or, Path, Subquery, Truth, Value, Variable, expression, predicate
+from orrery.model import KINDS, Attribute, Entity, ModelError, Relationship, Store
+from orrery.operators.expressions import FLIPPED, And, Block, Call, Combined, Compare, If, Not, Or, Path, Subquery, Truth, Value, Variable, expression, kids, nodes, predicate
 from orrery.plans.request import Named, Request
 
 _COLLECTION = {"@count": F.count, "@sum": F.sum, "@avg": F.avg, "@min": F.min, "@max": F.max}
+_SETS = {"UNION": F.array_union, "INTERSECT": F.array_intersect, "MINUS": F.array_except}
+#: Lists of values longer than this are joined instead of being written into the condition.
+LONG_LIST = 200
+MASK = "***"
 
 
 class Plan:
     def __init__(self, store: Store, entity: Entity, heirs: bool = True, rows: DataFrame | None = None) -> None:
         self.store, self.model, self.entity = store, store.model, entity
-        self.alias, self.joined, self.made = "r", {(): entity}, 0
+        self.alias, self.joined, self.made, self.known = "r", {(): entity}, 0, {}
         self.df = self._named(store.scan(entity, heirs) if rows is None else rows, self.alias)
 
     @staticmethod
@@ -37,8 +44,11 @@ class Plan:
         self.made += 1
         return f"x{self.made}_{what}"
 
+    def key_name(self, hops: tuple[str, ...] = ()) -> str:
+        return f"{self._alias(hops)}__{self.model.root(self.joined[hops]).key}"
+
     def key_column(self, hops: tuple[str, ...] = ()) -> Column:
-        return F.col(f"{self._alias(hops)}__{self.model.root(self.joined[hops]).key}")
+        return F.col(self.key_name(hops))
 
     # Key paths
 
@@ -88,6 +98,8 @@ class Plan:
             raise ModelError(f"{entity.name} has no property {rest[0]!r}")
         if attribute.derived:
             return self.value(expression(attribute.derived), hops)
+        if attribute.transient:
+            return F.lit(None).cast(KINDS[attribute.kind])
         if attribute.parts:
             if len(rest) == 2:
                 part = next((a for a in attribute.parts if a.name == rest[1]), None)
@@ -116,15 +128,6 @@ class Plan:
     def attach(self, hops: tuple[str, ...], grouped: DataFrame, owner: str) -> None:
         self.df = self.df.join(grouped, self.key_column(hops) == F.col(owner), "left")
 
-    def exists(self, hops: tuple[str, ...], relation: Relationship, test) -> Column:
-        """Whether a member passes test, a function from the child plan to its condition."""
-        child, owner = self.members(relation)
-        condition = test(child)
-        name = self._fresh("some")
-        keys = child.df.where(condition & owner.isNotNull()).select(owner.alias(name)).distinct()
-        self.attach(hops, keys, name)
-        return F.col(name).isNotNull()
-
     def collection(self, hops: tuple[str, ...], relation: Relationship, rest: tuple[str, ...], test=None) -> Column:
         """rel.@count, rel.attribute.@sum and so on; @count is 0 and the others are null without members."""
         operator = rest[-1] if rest else None
@@ -132,13 +135,23 @@ class Plan:
             raise ModelError(f"a to-many key path needs a quantifier or a collection operator: {relation.name}")
         if (operator == "@count") != (len(rest) == 1):
             raise ModelError(f"{operator} {'takes no' if operator == '@count' else 'needs a'} property")
+        asked = (hops, relation.name, rest, repr(test))
+        if asked not in self.known:
+            child, owner = self.members(relation)
+            if test is not None:
+                child.restrict(test)
+            value = F.lit(1) if operator == "@count" else child.path(rest[:-1])
+            key, name = self._fresh("key"), self._fresh("value")
+            self.attach(hops, child.df.groupBy(owner.alias(key)).agg(_COLLECTION[operator](value).alias(name)), key)
+            self.known[asked] = F.coalesce(F.col(name), F.lit(0)) if operator == "@count" else F.col(name)
+        return self.known[asked]
+
+    def collected(self, hops: tuple[str, ...], relation: Relationship, rest: tuple[str, ...]) -> Column:
+        """The different values of a property of the members (their keys without one), as an array; empty without members."""
         child, owner = self.members(relation)
-        condition = test(child) if test else None
-        value = F.lit(1) if operator == "@count" else child.path(rest[:-1])
-        rows = child.df if condition is None else child.df.where(condition)
-        key, name = self._fresh("key"), self._fresh("value")
-        self.attach(hops, rows.groupBy(owner.alias(key)).agg(_COLLECTION[operator](value).alias(name)), key)
-        return F.coalesce(F.col(name), F.lit(0)) if operator == "@count" else F.col(name)
+        key, name = self._fresh("key"), self._fresh("values")
+        self.attach(hops, child.df.groupBy(owner.alias(key)).agg(F.collect_set(child.path(rest or ("objectID",))).alias(name)), key)
+        return F.coalesce(F.col(name), F.array())
 
     # Expressions
 
@@ -146,7 +159,13 @@ class Plan:
         if isinstance(node, Value):
             if isinstance(node.value, list):
                 return F.array(*(F.lit(v) for v in node.value))
+            if isinstance(node.value, Request):
+                return self.scalar(node.value)
             return F.lit(node.value)
+        if isinstance(node, Block):
+            return node.function(lambda path: self.path(tuple(path.split(".")), hops))
+        if isinstance(node, Combined):
+            return _SETS[node.op](self.members_of(node.left, hops), self.members_of(node.right, hops))
         if isinstance(node, Path):
             return self.path(node.parts, hops)
         if isinstance(node, If):
@@ -156,7 +175,7 @@ class Plan:
             relation = self.model.relationship(self.joined[at], rest[0])
             if relation is None or not relation.many:
                 raise ModelError("SUBQUERY needs a to-many relationship")
-            return self.collection(at, relation, ("@count",), lambda child: child.test(node.test))
+            return self.collection(at, relation, ("@count",), node.test)
         if isinstance(node, Call):
             return self.call(node, hops)
         if isinstance(node, Variable):
@@ -165,6 +184,22 @@ class Plan:
             raise ModelError(f"${node.name} has no value")
         raise ModelError(f"not a value: {node!r}")
 
+    def members_of(self, node, hops: tuple[str, ...]) -> Column:
+        """A side of a set expression: a path over a to-many as an array, any other value as it is."""
+        if isinstance(node, Path):
+            at, rest = self.split(node.parts, hops)
+            relation = self.model.relationship(self.joined[at], rest[0]) if rest else None
+            if relation is not None and relation.many and not rest[-1].startswith("@"):
+                return self.collected(at, relation, rest[1:])
+        return self.value(node, hops)
+
+    def scalar(self, request: Request) -> Column:
+        """The single value of another request: its count, an aggregate without groups, or its only row."""
+        aggregates = [isinstance(p, Named) and _is_aggregate(expression(p.expression)) for p in request.properties]
+        if request.result != "count" and (request.group_by or len(aggregates) != 1 or not (aggregates[0] or request.limit == 1)):
+            raise ModelError("a request within an expression must give one value")
+        return fetch(self.store, replace(request, result=request.result if request.result == "count" else "objects"), bare=True).scalar()
+
     def call(self, node: Call, hops: tuple[str, ...]) -> Column:
         name = node.name
         if name.rstrip(":") in AGGREGATES:
@@ -178,6 +213,34 @@ class Plan:
 
     # Predicates
 
+    def restrict(self, tree) -> None:
+        """Keeps the rows for which tree is true."""
+        plain, joined = [], []
+
+        def take(node) -> None:
+            inner = node.part if isinstance(node, Not) else node
+            if isinstance(node, And):
+                for p in node.parts:
+                    take(p)
+            elif isinstance(inner, Compare) and (inner.quantifier or self.is_joined(inner)):
+                joined.append((inner, "left_anti" if inner is not node else "left_semi"))
+            else:
+                plain.append(node)
+
+        take(tree)
+        if plain:
+            condition = reduce(lambda a, b: a & b, [self.test(p) for p in plain])
+            self.df = self.df.where(condition)
+        for node, how in joined:
+            if node.quantifier:
+                at, keys, name = self.passing(node, ())
+                left = self.key_column(at)
+            else:
+                left, keys, name = self.listed(node, ())
+            if how == "left_anti" and not node.quantifier:  # NOT (null IN ...) is null, so that such rows go
+                self.df = self.df.where(left.isNotNull())
+            self.df = self.df.join(keys, left == F.col(name), how)
+
     def test(self, node, hops: tuple[str, ...] = ()) -> Column:
         if isinstance(node, Truth):
             return F.lit(node.value)
@@ -187,6 +250,8 @@ class Plan:
             return reduce(lambda a, b: a | b, [self.test(p, hops) for p in node.parts])
         if isinstance(node, Not):
             return ~self.test(node.part, hops)
+        if isinstance(node, Block):
+            return self.value(node, hops)
         if not isinstance(node, Compare):
             raise ModelError(f"not a predicate: {node!r}")
         if node.quantifier:
@@ -195,8 +260,10 @@ class Plan:
         if isinstance(left, Value) and not isinstance(right, Value) and op in FLIPPED:
             left, right, op = right, left, FLIPPED[op]
         self.check_codec(left, right, hops)
-        if op == "IN" and isinstance(right, Value) and isinstance(right.value, Request):
-            return self.among(left, right.value, hops)
+        if self.is_joined(node):
+            return self.among(node, hops)
+        if op == "IN" and isinstance(right, (Combined, Path)):
+            return F.array_contains(self.members_of(right, hops), self.value(left, hops))
         return compared(self.value(left, hops), op, right, node.options, lambda x: self.value(x, hops))
 
     def check_codec(self, left, right, hops: tuple[str, ...]) -> None:
@@ -205,32 +272,89 @@ class Plan:
                 if not (isinstance(other, Value) and other.value is None):
                     raise ModelError("a transformable attribute can only be compared with nil")
 
-    def among(self, left, right: Request, hops: tuple[str, ...]) -> Column:
-        """left IN (the ids, or the only property, of another request)."""
-        inner = fetch(self.store, right)
-        column = self._fresh("in")
-        first = inner.columns[0] if right.properties else "objectID"
-        self.df = self.df.join(inner.select(F.col(first).alias(column)).where(F.col(column).isNotNull()).distinct(), self.value(left, hops) == F.col(column), "left")
-        return F.col(column).isNotNull()
+    @staticmethod
+    def is_joined(node: Compare) -> bool:
+        """Whether a comparison is IN another request's rows, a table's first column, or a long list."""
+        if node.op != "IN" or not isinstance(node.right, Value):
+            return False
+        given = node.right.value
+        return isinstance(given, (Request, DataFrame)) or isinstance(given, (list, tuple, set)) and len(given) > LONG_LIST and not node.options
+
+    def listed(self, node: Compare, hops: tuple[str, ...]) -> tuple[Column, DataFrame, str]:
+        """(left side, different values on the right, the name of their column)."""
+        left, given, name = self.value(node.left, hops), node.right.value, self._fresh("in")
+        if isinstance(given, Request):
+            rows = fetch(self.store, given if given.result == "ids" else replace(given, result="objects"), bare=bool(given.properties))
+        elif isinstance(given, DataFrame):
+            rows = given
+        else:
+            rows = self.store.spark.createDataFrame([(v,) for v in given], [name])
+        return left, rows.select(F.col(f"`{rows.columns[0]}`").alias(name)).where(F.col(name).isNotNull()).distinct(), name
 
-    def quantified(self, node: Compare, hops: tuple[str, ...]) -> Column:
-        """ANY: some member passes. ALL: there are members, and none for which the comparison is false."""
+    def among(self, node: Compare, hops: tuple[str, ...]) -> Column:
+        left, keys, name = self.listed(node, hops)
+        self.df = self.df.join(keys, left == F.col(name), "left")
+        return F.when(left.isNotNull(), F.col(name).isNotNull())
+
+    def passing(self, node: Compare, hops: tuple[str, ...]) -> tuple[tuple[str, ...], DataFrame, str]:
+        """(hops, keys, column): the different keys at hops that a quantifier holds for.
+
+        ANY: some member passes. ALL: there are members, and none for which the comparison is false.
+        """
         if not isinstance(node.left, Path):
             raise ModelError("a quantifier needs a key path")
         at, rest = self.split(node.left.parts, hops)
         relation = self.model.relationship(self.joined[at], rest[0])
         if relation is None or not relation.many:
             raise ModelError("a quantifier needs a to-many relationship")
-        inner = Path(rest[1:] or ("objectID",))
-
-        def some(child: Plan) -> Column:
-            deeper, left = child.split(inner.parts)
-            further = child.model.relationship(child.joined[deeper], left[0]) if left else None
-            return child.test(Compare(inner, node.op, node.right, node.options, node.quantifier if further is not None and further.many else ""))
-
+        child, owner = self.members(relation)
+        deeper, left = child.split(rest[1:] or ("objectID",))
+        further = child.model.relationship(child.joined[deeper], left[0]) if left else None
+        inner = Compare(Path(rest[1:] or ("objectID",)), node.op, node.right, node.options, node.quantifier if further is not None and further.many else "")
+        name = self._fresh("some")
         if node.quantifier == "ANY":
-            return self.exists(at, relation, some)
-        return self.exists(at, relation, lambda child: F.lit(True)) & ~self.exists(at, relation, lambda child: ~some(child))
+            child.restrict(inner)
+            return at, child.df.where(owner.isNotNull()).select(owner.alias(name)).distinct(), name
+        failed = F.coalesce(~child.test(inner), F.lit(False))
+        members = child.df.where(owner.isNotNull()).groupBy(owner.alias(name)).agg(F.max(failed).alias("failed__"))
+        return at, members.where("NOT failed__").select(name), name
+
+    def quantified(self, node: Compare, hops: tuple[str, ...]) -> Column:
+        asked = (hops, repr(node))
+        if asked not in self.known:
+            at, keys, name = self.passing(node, hops)
+            self.attach(at, keys, name)
+            self.known[asked] = F.col(name).isNotNull()
+        return self.known[asked]
+
+    # Sensitive attributes
+
+    def sensitive(self, node) -> bool:
+        """Whether a value rests on a sensitive attribute, over derived attributes too; counts do not."""
+        if isinstance(node, Subquery) or isinstance(node, Call) and node.name.rstrip(":") == "count":
+            return False
+        if isinstance(node, Path):
+            return self._sensitive_path(self.entity, node.parts)
+        if isinstance(node, Block):
+            read: list[str] = []
+            node.function(lambda path: (read.append(path), self.path(tuple(path.split("."))))[1])
+            return any(self._sensitive_path(self.entity, tuple(p.split("."))) for p in read)
+        return any(self.sensitive(n) for n in kids(node))
+
+    def _sensitive_path(self, entity: Entity, parts: tuple[str, ...]) -> bool:
+        for i, name in enumerate(parts):
+            relation = self.model.relationship(entity, name)
+            if relation is not None:
+                entity = self.model[relation.target]
+                continue
+            a = self.model.attribute(entity, name)
+            if a is None:
+                return False
+            if a.derived:
+                return any(self._sensitive_path(entity, n.parts) for n in nodes(expression(a.derived)) if isinstance(n, Path))
+            own = [p for p in a.parts if i + 1 == len(parts) or p.name == parts[i + 1]]
+            return a.sensitive or any(p.sensitive for p in own)
+        return False
 
 
 def compared(left: Column, op: str, right, options: str, value) -> Column:
@@ -263,55 +387,76 @@ def compared(left: Column, op: str, right, options: str, value) -> Column:
     }[op]()
 
 
-_ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-_PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
+def _accents() -> tuple[str, str]:
+    """Letters that are another letter with accents, and those letters."""
+    pairs = [(chr(i), unicodedata.normalize("NFD", chr(i))) for i in range(0xC0, 0x2000)]
+    pairs = [(c, d[0]) for c, d in pairs if len(d) > 1 and all(unicodedata.category(x) == "Mn" for x in d[1:])]
+    return "".join(c for c, _ in pairs), "".join(d for _, d in pairs)
+
+
+_ACCENTED, _PLAIN = _accents()
 
 
 def _unaccented(c: Column) -> Column:
-    return F.translate(c, _ACCENTED, _PLAIN)
+    """Without accents, written with the letter or after it."""
+    return F.regexp_replace(F.translate(c, _ACCENTED, _PLAIN), r"\p{Mn}+", "")
 
 
 # Requests
 
 
 def shown(entity: Entity, store: Store, heirs: bool) -> list[Attribute]:
-    """Attributes of a default projection: the entity's own and inherited ones."""
-    return [a for a in store.model.attributes(entity) if not a.derived or "@" not in a.derived]
+    """Attributes of a default projection: the entity's own and inherited ones, but transient ones and those that count members."""
+    return [a for a in store.model.attributes(entity) if not a.transient and (not a.derived or "@" not in a.derived)]
+
+
+def masked(column: Column, hide: bool) -> Column:
+    return F.when(column.isNotNull(), F.lit(MASK)) if hide else column
 
 
 def _sorts(plan: Plan, request: Request, named: dict[str, Column]) -> list[Column]:
-    """Sort columns, nulls first ascending and last descending. A to-many path sorts by its least or greatest value."""
+    """Sort columns, nulls first ascending and last descending. A to-many path sorts by its least or greatest value.
+
+    named are the computed columns of the result; everything else is sorted by what the store holds. Transient
+    attributes sort nothing.
+    """
     out = []
     for item in request.sort:
         down = item.startswith("-")
         name = item.lstrip("-")
+        parts = tuple(name.split("."))
         if name in named:
             column = named[name]
         else:
-            at, rest = plan.split(tuple(name.split(".")))
+            at, rest = plan.split(parts)
             relation = plan.model.relationship(plan.joined[at], rest[0]) if rest else None
+            a = plan.model.attribute(plan.joined[at], rest[0]) if rest else None
+            if a is not None and a.transient:
+                continue
             if relation is not None and relation.many and not rest[-1].startswith("@"):
                 column = plan.collection(at, relation, (*rest[1:], "@max" if down else "@min"))
             else:
-                column = plan.path(tuple(name.split(".")))
+                column = plan.path(parts)
         out.append(column.desc_nulls_last() if down else column.asc_nulls_first())
     return out
 
 
-def _output(plan: Plan, item, hidden: bool) -> tuple[str, Column]:
+def _output(plan: Plan, item) -> tuple[str, Column, bool]:
+    """(name, value, whether the value is sensitive) of a property."""
     if isinstance(item, Named):
-        c = plan.value(expression(item.expression))
-        return item.name, c.cast(item.kind) if item.kind else c
-    column = plan.path(tuple(item.split(".")))
-    at, rest = plan.split(tuple(item.split(".")))
-    a = plan.model.attribute(plan.joined[at], rest[0]) if rest else None
-    if a is not None and a.sensitive and hidden:
-        column = F.when(column.isNotNull(), F.lit("***"))
-    return item.replace(".", "_"), column
-
-
-def fetch(store: Store, request: Request) -> DataFrame:
-    """The plan of a request. Columns are named by the model, dots of paths become underscores."""
+        tree = expression(item.expression)
+        c = plan.value(tree)
+        return item.name, c.cast(item.kind) if item.kind else c, plan.sensitive(tree)
+    parts = tuple(item.split("."))
+    return item.replace(".", "_"), plan.path(parts), plan.sensitive(Path(parts))
+
+
+def fetch(store: Store, request: Request, bare: bool = False) -> DataFrame:
+    """The plan of a request. Columns are named by the model, dots of paths become underscores.
+
+    Dictionaries show values that rest on a sensitive attribute as MASK, after sorting, grouping and
+    distinct. With bare, properties alone are returned for objects too.
+    """
     request = request.checked()
     entity = store.model[request.entity]
     if request.shape is not None and request.result != "count":
@@ -321,33 +466,38 @@ def fetch(store: Store, request: Request) -> DataFrame:
     plan = Plan(store, entity, request.heirs)
     tree = request.tree()
     if tree is not None:
-        condition = plan.test(tree)
-        plan.df = plan.df.where(condition)
+        plan.restrict(tree)
     if request.result == "count":  # each root once, whatever limit and offset say
         return plan.df.agg(F.count(plan.key_column()).alias("count"))
+    hide = request.result == "dictionaries"
     if request.group_by:
-        return _grouped(plan, request)
-    hidden = request.result == "dictionaries"
+        return _grouped(plan, request, hide)
     if request.properties:
-        columns = dict(_output(plan, p, hidden) for p in request.properties)
-        if any(isinstance(p, Named) and _is_aggregate(expression(p.expression)) for p in request.properties):
-            return plan.df.agg(*(c.alias(n) for n, c in columns.items()))
+        found = [_output(plan, p) for p in request.properties]
     elif request.result == "ids" or not request.values:
-        columns = {}
+        found = []
     else:
-        columns = dict(_output(plan, a.name, hidden) for a in shown(entity, store, request.heirs))
-    if request.result in ("objects", "ids") or not request.properties:
+        found = [_output(plan, a.name) for a in shown(entity, store, request.heirs)]
+    columns, secret = {n: c for n, c, _ in found}, {n for n, _, s in found if s and hide}
+    if any(isinstance(p, Named) and _is_aggregate(expression(p.expression)) for p in request.properties):
+        return plan.df.agg(*(masked(c, n in secret).alias(n) for n, c in columns.items()))
+    if (request.result in ("objects", "ids") or not request.properties) and not (bare and request.properties):
         columns = {"objectID": plan.key_column(), "entityName": plan.path(("entityName",)), **columns}
-    sorts = _sorts(plan, request, columns)
-    df = plan.df
     if request.distinct:
-        df = df.select(*(c.alias(n) for n, c in columns.items())).distinct()
+        df = plan.df.select(*(c.alias(n) for n, c in columns.items())).distinct()
         if request.sort:
             df = df.orderBy(*((F.col(s.lstrip("-").replace(".", "_")).desc_nulls_last() if s.startswith("-") else F.col(s.replace(".", "_")).asc_nulls_first()) for s in request.sort))
-        return _window(df, request)
+        return _window(df, request).select(*(masked(F.col(n), n in secret).alias(n) for n in columns))
+    sorts = _sorts(plan, request, {p.name: columns[p.name] for p in request.properties if isinstance(p, Named)})
+    df = plan.df
     if sorts:
         df = df.orderBy(*sorts)
-    return _window(df, request).select(*(c.alias(n) for n, c in columns.items()))
+    return _window(df, request).select(*(masked(c, n in secret).alias(n) for n, c in columns.items()))
+
+
+def explain(store: Store, request: Request, mode: str = "formatted") -> None:
+    """Prints the plan that Spark makes of a request."""
+    fetch(store, request).explain(mode)
 
 
 def _window(df: DataFrame, request: Request) -> DataFrame:
@@ -359,14 +509,16 @@ def _is_aggregate(node) -> bool:
     return isinstance(node, Call) and (node.name.rstrip(":") in AGGREGATES or any(_is_aggregate(a) for a in node.args))
 
 
-def _grouped(plan: Plan, request: Request) -> DataFrame:
+def _grouped(plan: Plan, request: Request, hide: bool) -> DataFrame:
     """WHERE, GROUP BY, HAVING, ORDER BY; plain columns must be grouped."""
-    keys = dict(_output(plan, g, False) for g in request.group_by)
+    found = [_output(plan, g) for g in request.group_by]
+    keys, secret = {n: c for n, c, _ in found}, {n for n, _, s in found if s and hide}
     aggregates = {}
     for p in request.properties:
         name = p.name if isinstance(p, Named) else p.replace(".", "_")
         if isinstance(p, Named) and _is_aggregate(expression(p.expression)):
-            aggregates[name] = _output(plan, p, False)[1]
+            _, aggregates[name], inner = _output(plan, p)
+            secret |= {name} if inner and hide else set()
         elif name not in keys:
             raise ModelError(f"{name} is neither grouped nor aggregated")
     having = None
@@ -399,4 +551,4 @@ def _grouped(plan: Plan, request: Request) -> DataFrame:
     if request.sort:
         df = df.orderBy(*((F.col(s[1:].replace(".", "_")).desc_nulls_last() if s.startswith("-") else F.col(s.replace(".", "_")).asc_nulls_first()) for s in request.sort))
     names = [*keys, *(n for n in aggregates if not n.endswith("__"))]
-    return _window(df, request).select(*names)
+    return _window(df, request).select(*(masked(F.col(n), n in secret).alias(n) for n in names))

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.model import KINDS, NUMBERS, TYPE_DEFAULTS, Entity, Model, ModelError, Store
+from orrery.operators.changes import numbered, violations
+from orrery.sources.tables import cut
 
 
 def castable(old: str, new: str) -> bool:
@@ -18,12 +20,17 @@ def castable(old: str, new: str) -> bool:
 
 @dataclass
 class Mapping:
-    """How one new entity gets its rows; values are functions of the old table's columns."""
+    """How one new entity gets its rows; values are functions of the old table's columns.
+
+    With new_keys, rows get keys from 1 on in place of their old ones, and every to-one key and pair table
+    that points at them is moved along. policy sees the rows with their old keys.
+    """
 
     source: str | None
     target: str
     values: dict[str, Column] = field(default_factory=dict)
     policy: Callable[[DataFrame], DataFrame] | None = None
+    new_keys: bool = False
 
 
 def _former(model: Model, entity: Entity) -> Entity | None:
@@ -47,7 +54,7 @@ def inferred(old: Model, new: Model) -> list[Mapping]:
             for h in new.heirs(e):
                 before = {a.name: a for x in old.heirs(was) for a in x.attributes}
                 for a in h.attributes:
-                    if a.derived or a.parts:
+                    if a.derived or a.parts or a.transient:
                         continue
                     source = before.get(a.renamed_from or a.name)
                     fill = a.default if a.default is not None else TYPE_DEFAULTS.get(a.kind)
@@ -77,23 +84,58 @@ def inferred(old: Model, new: Model) -> list[Mapping]:
     return out
 
 
-def migrate(store: Store, new: Model, mappings: list[Mapping] | None = None) -> Store:
-    """The store under a new model. Tables that no entity uses any more are left out, pair tables are kept."""
-    old, tables = store.model, {}
+def _rekeyed(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """rows with keys from 1 on, and (old_id, new_id) of each."""
+    old = rows.withColumnRenamed(key, "__old").withColumn(key, F.lit(None).cast("bigint"))
+    made = cut(numbered(old, key, old))
+    return made.drop("__old").select(*rows.columns), made.select(F.col("__old").alias("old_id"), F.col(key).alias("new_id"))
+
+
+def _followed(rows: DataFrame, column: str, moved: DataFrame) -> DataFrame:
+    """rows with column taken from old to new keys; keys without a row become null."""
+    names = moved.select(F.col("old_id").alias("__from"), F.col("new_id").alias("__to"))
+    joined = rows.join(names, F.col(column) == F.col("__from"), "left")
+    return joined.select(*(F.col("__to").cast(rows.schema[c].dataType).alias(c) if c == column else F.col(c) for c in rows.columns))
+
+
+def migrate(store: Store, new: Model, mappings: list[Mapping] | None = None, validate: bool = False, associations: dict[str, DataFrame] | None = None) -> Store:
+    """The store under a new model, in three passes: rows, the keys between them, and with `validate` their rules.
+
+    Tables that no entity uses any more are left out, pair tables are kept. A source that shares its table
+    with other entities gives its own rows only. associations, where given, gets (old_id, new_id) of each
+    entity whose rows got new keys. A broken rule of the new model is an error.
+    """
+    old, tables, moved = store.model, {}, {} if associations is None else associations
     for m in mappings or inferred(old, new):
         e = new[m.target]
         if m.source is None:
-            schema = ", ".join([f"`{e.key}` bigint", *(f"`{a.physical}` {KINDS[a.kind]}" for a in e.attributes if not a.derived and not a.parts and a.physical != e.key)])
+            schema = ", ".join([f"`{e.key}` bigint", *(f"`{a.physical}` {KINDS[a.kind]}" for a in e.attributes if not a.derived and not a.parts and not a.transient and a.physical != e.key)])
             rows = store.spark.createDataFrame([], schema)
         else:
-            source = store.table(old.root(old[m.source]).table)
-            rows = source.select(*(c.alias(n) for n, c in m.values.items()))
-        tables[e.table] = m.policy(rows) if m.policy else rows
+            rows = store.scan(old[m.source]).select(*(c.alias(n) for n, c in m.values.items()))
+        rows = m.policy(rows) if m.policy else rows
+        if m.new_keys:
+            rows, moved[m.target] = _rekeyed(rows, e.key)
+        tables[e.table] = tables[e.table].unionByName(rows, allowMissingColumns=True) if e.table in tables else rows
     for e in new.entities.values():
         for r in e.relationships:
             if r.bridge and r.bridge[0] not in tables:
                 tables[r.bridge[0]] = store.table(r.bridge[0]) if r.bridge[0] in store.tables else store.spark.createDataFrame([], f"`{r.bridge[1]}` bigint, `{r.bridge[2]}` bigint")
-    return Store(store.spark, new, tables)
+    done = set()
+    for e in new.entities.values():
+        for r in e.relationships:
+            table = new.root(e).table
+            ends = [(table, r.key, r.target)] if r.key else [(r.bridge[0], r.bridge[1], e.name), (r.bridge[0], r.bridge[2], r.target)] if r.bridge else []
+            for name, column, target in ends:
+                if target in moved and name in tables and column in tables[name].columns and (name, column) not in done:
+                    done.add((name, column))
+                    tables[name] = _followed(tables[name], column, moved[target])
+    out = Store(store.spark, new, tables)
+    if validate:
+        for name, e in new.entities.items():
+            if not e.abstract and new.root(e).table in tables and (broken := violations(out, name).limit(1).collect()):
+                raise ModelError(f"{name} {broken[0]['id']}: {broken[0]['attribute']} breaks {broken[0]['rule']}")
+    return out
 
 
 def key_to_bridge(rows: DataFrame, key: str, foreign: str, columns: tuple[str, str]) -> DataFrame:
@@ -118,9 +160,18 @@ class Stage:
     did: Callable[[Store], None] | None = None
 
 
-def staged(store: Store, stages: list[Stage], on_progress: Callable[[float], None] | None = None, cancelled: Callable[[], bool] | None = None) -> Store:
-    """All stages in turn; a failure or a cancellation leaves the old store as it was."""
-    for i, s in enumerate(stages):
+def staged(store: Store, stages: list[Stage], on_progress: Callable[[float], None] | None = None, cancelled: Callable[[], bool] | None = None, start: Model | None = None) -> Store:
+    """The stages in turn, from the one after the store's own model on; all where no stage leads to that model.
+
+    start is the model before the first stage. Where it is given, a store of neither that model nor a
+    stage's is refused, as no stage leads on from it. A failure or a cancellation leaves the old store as it was.
+    """
+    own = store.model.checksum()
+    reached = [i + 1 for i, s in enumerate(stages) if s.model.checksum() == own]
+    if start is not None and not reached and start.checksum() != own:
+        raise ModelError("no stage starts at this store's model")
+    first = reached[-1] if reached else 0
+    for i, s in enumerate(stages[first:], first):
         if cancelled and cancelled():
             raise ModelError("cancelled")
         if s.will:

@@ -5,9 +5,11 @@ from __future__ import annotations
 import hashlib
 from dataclasses import dataclass, field, replace
 
+from pyspark.sql import DataFrame
+
 from orrery.functions.library import VOLATILE
 from orrery.model import Model, ModelError
-from orrery.operators.expressions import Call, Path, Subquery, nodes, predicate, substituted
+from orrery.operators.expressions import Block, Call, Path, Subquery, Value, expression, nodes, predicate, substituted
 
 RESULTS = ("objects", "ids", "dictionaries", "count")
 
@@ -60,10 +62,17 @@ class Request:
         return hashlib.sha256(f"{generation}|{self!r}".encode()).hexdigest()
 
     def cacheable(self) -> bool:
-        """No volatile function, collection operator, subquery or path over two relationships in the predicate."""
+        """No volatile function in any part; no block, collection operator, subquery or path over two relationships in the predicate."""
+        computed = [expression(p.expression) for p in (*self.properties, *self.group_by) if isinstance(p, Named)]
+        if self.having is not None:
+            computed.append(predicate(self.having))
+        if any(isinstance(n, Block) or isinstance(n, Call) and n.name in VOLATILE for tree in computed for n in nodes(tree)):
+            return False
         tree = self.tree()
         for n in nodes(tree) if tree is not None else ():
-            if isinstance(n, Subquery) or isinstance(n, Call) and n.name in VOLATILE:
+            if isinstance(n, (Subquery, Block)) or isinstance(n, Call) and n.name in VOLATILE:
+                return False
+            if isinstance(n, Value) and isinstance(n.value, (Request, DataFrame)):
                 return False
             if isinstance(n, Path) and (len(n.parts) > 2 or any(p.startswith("@") for p in n.parts)):
                 return False

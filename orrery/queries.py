@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orrery.model import Attribute as A
+from orrery.model import Entity, Model, Store
+from orrery.model import Relationship as R
+from orrery.operators.expressions import Block, expression
 from orrery.plans.compiler import fetch
+from orrery.plans.graph import as_json
 from orrery.plans.request import Named as N
 from orrery.plans.request import Request, from_template
 from orrery.semantic import MODEL, store
+from orrery.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -21,12 +27,12 @@ def query(name: str, sql: str, request: Request, after: Callable[[DataFrame], Da
     SQL[name] = sql
 
 
-def made(name: str, sql: str) -> Callable:
-    """Registers a function of a store."""
+def made(sql: str) -> Callable:
+    """Registers a function of a store under its name."""
 
     def keep(function: Callable) -> Callable:
-        QUERIES[name] = lambda spark, sf_dir: function(store(spark, sf_dir))
-        SQL[name] = sql
+        QUERIES[function.__name__] = lambda spark, sf_dir: function(store(spark, sf_dir))
+        SQL[function.__name__] = sql
         return function
 
     return keep
@@ -132,7 +138,7 @@ query("group_filter", "SELECT c_custkey AS objectID FROM customer WHERE c_nation
 def functions(name: str, entity: str, table: str, key: str, items: list[tuple[str, str, str]], where: str = "", predicate=None) -> None:
     """items: (column, expression, SQL)."""
     sql = f"SELECT {key} AS objectID, " + ", ".join(f"{s} AS {n}" for n, _, s in items) + f" FROM {table}" + (f" WHERE {where}" if where else "")
-    query(name, sql, Request(entity, predicate, properties=("objectID", *(N(n, e) for n, e, _ in items))))
+    query(name, sql, Request(entity, predicate, properties=tuple(N(n, e) for n, e, _ in items), result="objects"), lambda df: df.drop("entityName"))
 
 
 functions("fn_arith", "Part", "part", "p_partkey", [
@@ -205,3 +211,87 @@ query("ordered_tomany", "SELECT o_orderkey AS objectID, coalesce((SELECT string_
 query("sensitive_mask", "SELECT c_custkey AS objectID, c_name AS name, '***' AS balance FROM customer", Request("Customer", properties=("objectID", "name", "balance")))
 query("sensitive_clear", "SELECT c_custkey AS objectID, 'Customer' AS entityName, c_acctbal AS balance FROM customer", Request("Customer", properties=("balance",), result="objects"))
 query("json_result", "SELECT '{\"objectID\":' || r_regionkey || ',\"name\":\"' || r_name || '\"}' AS json FROM region", Request("Region", properties=("objectID", "name")), lambda df: df.select(F.to_json(F.struct("objectID", "name")).alias("json")))
+
+# Sensitive values: shown as ***, sorted, grouped and told apart by what the store holds
+query("sensitive_sort", "SELECT c_custkey AS objectID, '***' AS balance FROM customer ORDER BY c_acctbal DESC NULLS LAST, c_custkey LIMIT 4", Request("Customer", sort=("-balance", "objectID"), limit=4, properties=("objectID", "balance")))
+query("sensitive_expression", "SELECT c_custkey AS objectID, '***' AS twice, '***' AS owed, c_name AS name FROM customer", Request("Customer", properties=("objectID", N("twice", "multiply:by:(balance, 2)"), N("owed", 'IF(balance < 0, "yes", "no")'), "name")))
+query("sensitive_group", "SELECT c_mktsegment AS segment, '***' AS top, count(*) AS n FROM customer GROUP BY c_mktsegment HAVING max(c_acctbal) > 0", Request("Customer", group_by=("segment",), properties=(N("top", "max:(balance)"), N("n", "count:(balance)")), having="max:(balance) > 0"))
+query("sensitive_group_key", "SELECT '***' AS owes, count(*) AS n FROM customer GROUP BY c_acctbal < 0", Request("Customer", group_by=(N("owes", 'IF(balance < 0, "yes", "no")'),), properties=(N("n", "count:(objectID)"),)))
+query("sensitive_distinct", "SELECT '***' AS balance, segment FROM (SELECT DISTINCT c_acctbal, c_mktsegment AS segment FROM customer)", Request("Customer", properties=("balance", "segment"), distinct=True))
+query("sensitive_nested", "SELECT n_nationkey AS objectID, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS hidden FROM nation", Request("Nation", shape={"customers": {"name": None, "balance": None}}), lambda df: df.select("objectID", F.size(F.filter("customers", lambda c: c["balance"] == "***")).cast("bigint").alias("hidden")))
+query("sensitive_keypath", "SELECT o_orderkey AS objectID, '***' AS customer_balance FROM orders", Request("Order", properties=("objectID", "customer.balance")))
+
+# Requests, tables, long lists, sets and blocks inside predicates
+query("scalar_request", f"{O} WHERE o_totalprice > (SELECT avg(o_totalprice) FROM orders WHERE o_orderstatus = 'F')", orders("totalPrice > %@", Request("Order", 'status == "F"', properties=(N("mean", "average:(totalPrice)"),))))
+query("scalar_count", "SELECT p_partkey AS objectID FROM part WHERE p_size = (SELECT count(*) FROM region)", Request("Part", "size == %@", (Request("Region", result="count"),), properties=("objectID",)))
+query("long_list", f"{O} WHERE o_orderkey < 1000 AND o_orderkey % 2 = 0", orders("objectID IN %@", list(range(0, 1000, 2))))
+query("not_in_subquery", f"{O} WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')", orders("NOT (customer IN %@)", Request("Customer", 'segment == "BUILDING"', result="ids")))
+query("in_subquery_or", f"{O} WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 9000) OR o_totalprice > 300000", orders("customer IN %@ OR totalPrice > 300000", Request("Customer", "balance > 9000", result="ids")))
+query("block_predicate", f"{O} WHERE o_totalprice % 7 < 1 AND o_orderstatus = 'O'", orders('%@ AND status == "O"', Block(lambda get: get("totalPrice") % 7 < 1)))
+query("block_value", "SELECT o_orderkey AS objectID, length(c_name) + o_orderkey AS mixed FROM orders JOIN customer ON o_custkey = c_custkey", Request("Order", properties=("objectID", N("mixed", Block(lambda get: F.length(get("customer.name")) + get("objectID")), "bigint"))))
+query("set_union", "SELECT n_nationkey AS objectID FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_custkey = 10) OR n_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_suppkey = 10)", Request("Nation", "10 IN customers UNION suppliers", properties=("objectID",)))
+query("set_intersect", "SELECT r_regionkey AS objectID FROM region WHERE r_name IN ('ASIA', 'EUROPE')", Request("Region", 'name IN {"ASIA", "EUROPE", "AFRICA"} INTERSECT {"EUROPE", "ASIA", "none"}', properties=("objectID",)))
+query("set_minus", "SELECT n_nationkey AS objectID FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_custkey = 12) AND n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey = 12)", Request("Nation", "12 IN customers MINUS suppliers", properties=("objectID",)))
+query("diacritic", "SELECT p_partkey AS objectID FROM part WHERE p_name = 'small ring'", Request("Part", 'name ==[d] "smäll rīng"', properties=("objectID",)))
+functions("fn_regexp_groups", "Part", "part", "p_partkey", [("a", expression('regexpReplace:(name, "([aeiou])([a-z])", %@)', r"\2$\1"), r"regexp_replace(p_name, '([aeiou])([a-z])', '\2$\1', 'g')")])
+query("all_nested", "SELECT n_nationkey AS objectID FROM nation n WHERE EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey) AND NOT EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey AND NOT (EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND NOT (o_totalprice > 100))))", Request("Nation", "ALL customers.orders.totalPrice > 100", properties=("objectID",)))
+query("any_or", "SELECT c_custkey AS objectID FROM customer WHERE c_mktsegment = 'BUILDING' OR EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 250000)", Request("Customer", 'segment == "BUILDING" OR ANY orders.totalPrice > 250000', properties=("objectID",)))
+
+# A many-to-many of an entity with itself: nations and those whose key is three times theirs, modulo 25
+FRIENDS = Model(Entity("Nation", "nation", "n_nationkey", [A("name", column="n_name")], [R("follows", "Nation", bridge=("friends", "a", "b"), many=True, inverse="followers"), R("followers", "Nation", bridge=("friends", "b", "a"), many=True, inverse="follows")]))
+
+
+def _friends(s: Store) -> Store:
+    pairs = s.table("nation").select(F.col("n_nationkey").alias("a"), (F.col("n_nationkey") * 3 % 25).alias("b"))
+    return Store(s.spark, FRIENDS, {"nation": s.table("nation"), "friends": pairs})
+
+
+PAIRS = "WITH friends AS (SELECT n_nationkey AS a, n_nationkey * 3 % 25 AS b FROM nation)"
+
+
+@made(f"{PAIRS} SELECT n_nationkey AS objectID, (SELECT count(*) FROM friends WHERE b = n_nationkey) AS followers FROM nation WHERE EXISTS (SELECT 1 FROM friends JOIN nation f ON f.n_nationkey = b WHERE a = nation.n_nationkey AND f.n_name LIKE 'NATION_1%')")
+def m2m_self(s: Store) -> DataFrame:
+    return fetch(_friends(s), Request("Nation", 'ANY follows.name BEGINSWITH "NATION_1"', properties=("objectID", N("followers", "followers.@count"))))
+
+
+@made(f"{PAIRS} SELECT n_nationkey AS objectID, coalesce((SELECT string_agg(f.n_name, ',' ORDER BY f.n_name) FROM friends JOIN nation f ON f.n_nationkey = a WHERE b = nation.n_nationkey), '') AS followers FROM nation")
+def m2m_self_nested(s: Store) -> DataFrame:
+    df = fetch(_friends(s), Request("Nation", shape={"followers": {"name": None}}))
+    return df.select("objectID", NAMES("followers", lambda x: x["name"]).alias("followers"))
+
+
+SUBTYPES = Model(
+    Entity("Event", "events", "event_id", [A("kind", column="event_type"), A("value", "double")], [R("next", "Purchase", key="next_id")], abstract=True, discriminator="event_type"),
+    Entity("Purchase", "events", "event_id", parent="Event", tag="purchase"), Entity("Click", "events", "event_id", parent="Event", tag="click"),
+)
+
+
+@made("SELECT e.event_id AS objectID, p.value AS next_value FROM events e LEFT JOIN events p ON p.event_id = e.event_id + 1 AND p.event_type = 'purchase' WHERE e.event_type = 'click'")
+def toone_subentity(s: Store) -> DataFrame:
+    """A to-one whose target is a sub-entity: rows of other kinds are no match, and their owners stay."""
+    rows = s.table("events").withColumn("next_id", F.col("event_id") + 1)
+    return fetch(Store(s.spark, SUBTYPES, {"events": rows}), Request("Click", properties=("objectID", "next.value")))
+
+
+@made("WITH p AS (SELECT n_nationkey FROM nation ORDER BY n_name DESC NULLS LAST, n_nationkey LIMIT 3) SELECT n_nationkey AS objectID, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS customers, (SELECT count(*) FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_nationkey = n_nationkey) AS orders FROM p")
+def paged_nested(s: Store) -> DataFrame:
+    df = fetch(s, Request("Nation", sort=("-name", "objectID"), limit=3, shape={"customers": {"orders": {"totalPrice": None}}}))
+    sizes = F.aggregate("customers", F.lit(0).cast("bigint"), lambda n, c: n + F.size(c["orders"]))
+    return df.select("objectID", F.size("customers").cast("bigint").alias("customers"), sizes.alias("orders"))
+
+
+@made("SELECT '{\"objectID\":' || r_regionkey || ',\"entityName\":\"Region\",\"name\":\"' || r_name || '\"}' AS json FROM region")
+def json_objects(s: Store) -> DataFrame:
+    return as_json(fetch(s, Request("Region", properties=("name",), result="objects")))
+
+
+@made("SELECT r_regionkey AS objectID, r_name AS name FROM region")
+def store_registered(s: Store) -> DataFrame:
+    """A kind of store of our own, beside Parquet and XML."""
+    tables.register("demo", lambda spark, model, path: Store(spark, model, {**s.tables}))
+    return fetch(tables.opened(s.spark, MODEL, "demo", "nowhere"), Request("Region", properties=("objectID", "name")))
+
+
+@made("SELECT * FROM (VALUES (1, 'a'), (2, NULL)) t(r_regionkey, r_name)")
+def memory_rows(s: Store) -> DataFrame:
+    return tables.memory_table(s.spark, [{"r_regionkey": 1, "r_name": "a"}, {"r_regionkey": 2}], "r_regionkey int, r_name string")

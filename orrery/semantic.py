@@ -39,7 +39,7 @@ MODEL = Model(
         R("order", "Order", key="l_orderkey", inverse="lineitems"),
         R("part", "Part", key="l_partkey", inverse="lineitems"),
         R("supplier", "Supplier", key="l_suppkey", inverse="lineitems"),
-    ]),
+    ], identity=("l_orderkey", "l_linenumber")),
     Entity("Event", "events", "event_id", [A("at", "date", "ts"), A("user", "integer64", "user_id"), A("kind", column="event_type"), A("value", "double"), A("props")], abstract=True, discriminator="event_type"),
     Entity("CommerceEvent", "events", "event_id", parent="Event", abstract=True),
     Entity("Purchase", "events", "event_id", parent="CommerceEvent", tag="purchase"),
@@ -49,7 +49,7 @@ MODEL = Model(
     Entity("Error", "events", "event_id", parent="Event", tag="error"),
     Entity("Document", "documents", "doc_id", [A("lang"), A("source"), A("chars", "integer64", "n_chars")], [R("label", "Label", inverse_key="doc_id", inverse="document")]),
     Entity("Label", "labels", "doc_id", [A("quality", "integer32"), A("toxic", "integer32")], [R("document", "Document", key="doc_id", inverse="label")]),
-    Entity("Turn", "conversations", "turn", [A("conversation", "integer64", "conv_id"), A("turn", "integer64"), A("role"), A("text")]),
+    Entity("Turn", "conversations", "turn", [A("conversation", "integer64", "conv_id"), A("turn", "integer64"), A("role"), A("text")], identity=("conv_id", "turn")),
     templates={"ordersOver": Request("Order", "totalPrice > $LIMIT AND priority == $PRIORITY", properties=("objectID", "totalPrice"))},
 )
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.model import KINDS, Model, Store
+from orrery.sources.tables import register
 
 SCHEMA = "_id string, _type string, attribute array<struct<_VALUE:string,_name:string,_type:string>>, relationship array<struct<_VALUE:string,_name:string,_destination:string,_references:string>>"
 
@@ -40,3 +41,6 @@ def read(spark: SparkSession, model: Model, path: str) -> Store:
         columns += [F.element_at(to, r.name).try_cast("bigint").alias(r.key) for r in e.relationships if r.key and r.key != e.key]
         tables[e.table] = objects.where(F.col("_type") == e.name).select(*columns)
     return Store(spark, model, tables)
+
+
+register("xml", read)

@@ -52,7 +52,11 @@ def purged(log: DataFrame, token: int | None = None, date=None) -> DataFrame:
 
 
 def shaped(log: DataFrame, result: str) -> DataFrame:
-    """status, count, ids, transactions, changes, or transactions with their changes nested."""
+    """status, count, ids, transactions, changes (one row each), or transactions with their changes nested.
+
+    Nesting puts all changes of a transaction into one row, so it is for single transactions and short logs;
+    `changes` sorted by transaction is the same without that limit.
+    """
     if result == "status":
         return log.agg((F.count("*") >= 0).alias("status"))
     if result == "count":
@@ -91,3 +95,11 @@ def notify(spark: SparkSession, path: str, checkpoint: str, callback) -> object:
             callback(token, batch)
 
     return stream(spark, path).writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(each).start()
+
+
+def merged_inserts(rows: DataFrame, log: DataFrame, remote: DataFrame, key: str, entity: str) -> DataFrame:
+    """rows with what another store's log says it has inserted: those of remote's rows whose key is not here yet."""
+    new = log.where((F.col("kind") == "insert") & (F.col("entity") == entity)).select(F.col("id").alias("__id")).distinct()
+    found = remote.join(new, remote[key] == F.col("__id"), "left_semi")
+    own = rows.select(F.col(key).alias("__own"))
+    return rows.unionByName(found.join(own, found[key] == F.col("__own"), "left_anti").select(*rows.columns))
