@@ -1,4 +1,4 @@
-"""Tables, the folder that all executors share, and connected components."""
+"""Tables, the folder that all executors share, joins that spare hot groups, and connected components."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -16,9 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset, as in local tests, one of our own."""
+    """The folder named by spark.checkpoint.dir. Where that is unset, a local session gets one of its own, any other an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='orrery-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -43,8 +45,15 @@ def mapped(df: DataFrame, function, schema: str) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
+def _run_dir(spark: SparkSession) -> str:
+    """A folder of this run's own below the shared one."""
+    if not getattr(spark.sparkContext, "_orrery_run", None):
+        spark.sparkContext._orrery_run = uuid.uuid4().hex
+    return f"{shared_dir(spark)}/orrery/{spark.sparkContext._orrery_run}"
+
+
 def scratch(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/orrery/{what}-{uuid.uuid4().hex}"
+    return f"{_run_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
@@ -59,11 +68,61 @@ def written(df: DataFrame, what: str) -> DataFrame:
 
 
 def forget(spark: SparkSession) -> None:
-    """Removes what written() has left; results that still read it become unusable."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/orrery")
+    """Removes what written() has left in this run; results that still read it become unusable. Other runs keep theirs."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_run_dir(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Words of an id filter at most: 2048 of 4 KB, so 8 MB whatever the number of ids.
+FILTER_WORDS = 2048
+#: A group with more than this part of all rows is joined by broadcast; there are fewer such groups than its reciprocal.
+HOT_SHARE = 1 / 1024
+
+
+def _place(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key.cast("string")), F.lit(FILTER_WORDS * 32768))
+
+
+def split_by_ids(rows: DataFrame, key: Column, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows in two parts: those whose key is surely not among ids (their first column), and the others.
+
+    ids become a bit each in a filter of 8 MB at most, which every task tests its rows against where they
+    are read, so that only the second part need be shuffled. Both parts keep the columns of rows. Null keys
+    fall into the second part.
+    """
+    at, bit = F.col("__at"), F.col("__at") % 32768
+    places = ids.select(_place(F.col(ids.columns[0])).alias("__at")).where("__at IS NOT NULL")
+    words = places.groupBy(F.floor(at / 32768).alias("__word")).agg(F.bitmap_construct_agg(bit).alias("__bits"))
+    words = written(words, "id-filter")
+    named = rows.select(F.struct("*").alias("__row"), F.coalesce(_place(key), F.lit(-1)).alias("__at")).withColumn("__word", F.floor(at / 32768))
+    tested = named.join(F.broadcast(words), "__word", "left")  # FILTER_WORDS rows at most
+    octet = F.conv(F.hex(F.substring("__bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = octet.bitwiseAND(F.call_function("shiftleft", F.lit(1), (bit % 8).cast("int"))) != 0
+    maybe = (at < 0) | F.coalesce(held, F.lit(False))
+    return tested.where(~maybe).select("__row.*"), tested.where(maybe).select("__row.*")
+
+
+def without_ids(rows: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
+    """rows whose id is not among gone (its first column); only rows that may be among them are shuffled. Null ids stay."""
+    rest, maybe = split_by_ids(rows, F.col(id_col), gone)
+    named = gone.select(F.col(gone.columns[0]).alias("__gone")).distinct()
+    return rest.unionByName(maybe.join(named, maybe[id_col] == F.col("__gone"), "left_anti"))
+
+
+def joined_to_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """rows with the columns of their group, an inner join by key; size is the number of rows of each group.
+
+    Groups with more than HOT_SHARE of all rows, 1023 at most, meet their rows by broadcast, so that no task
+    gets a large group; all others meet by shuffle. rows and groups are each read twice.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    hot = groups.where(F.col(size) > total * HOT_SHARE)
+    cold = groups.where(F.col(size) <= total * HOT_SHARE)
+    large = rows.join(F.broadcast(hot), key)
+    small = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
+    return large.unionByName(small.select(*large.columns))
+
+
 def spread(df: DataFrame, rows_a_part: int) -> int:
     """How many parts df needs at so many rows each."""
     return max(1, -(-df.count() // rows_a_part))
