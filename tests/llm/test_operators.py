@@ -3,6 +3,7 @@
 import collections
 import functools
 import hashlib
+import math
 import zlib
 
 import numpy as np
@@ -291,7 +292,7 @@ def test_a_stronger_license_rule_suppresses_what_lies_within_it(spark):
 def test_mixing_stays_within_one_block_of_the_target(spark):
     rows = [(i, "abc"[0 if i < 600 else 1 if i < 900 else 2]) for i in range(1000)]
     df = spark.createDataFrame(rows, "doc_id long, source string")
-    out = sorted(mixing.mixed(df, weights={"a": 6.0, "b": 3.0, "c": 1.0}, block_rows=10, resolution=10).collect(), key=lambda r: r["position"])
+    out = sorted(mixing.mixed(df, weights={"a": 6.0, "b": 3.0, "c": 1.0}, block_rows=10).collect(), key=lambda r: r["position"])
     assert sorted(r["doc_id"] for r in out) == list(range(1000)) and len({r["position"] for r in out}) == 1000
     done = collections.Counter()
     for at in range(100):
@@ -346,13 +347,41 @@ def test_mixing_gives_each_of_many_sources_its_target(spark):
     dealt(in_blocks(out, 4), {s: x**0.5 for s, x in n.items()})
 
 
+def slot_by_slot(weights, blocks):
+    """Earliest deadline first, one slot after the other."""
+    reached = lambda v: sum(min(n, w * v) for w, n in zip(weights, blocks))
+    window = lambda i, k: (math.floor(reached(k / weights[i]) + 1e-7), math.ceil(reached((k + 1) / weights[i]) - 1e-7))
+    at, out = [0] * len(blocks), []
+    for now in range(sum(blocks)):
+        open_ = [(i, *window(i, at[i])) for i in range(len(blocks)) if at[i] < blocks[i]]
+        lane = min(open_, key=lambda x: (0, x[2], x[2], x[0]) if x[1] <= now else (1, x[1], x[2], x[0]))[0]
+        out.append((lane, at[lane]))
+        at[lane] += 1
+    return out
+
+
+@pytest.mark.parametrize("stretch", [32, 4096])
+@pytest.mark.parametrize(("weights", "blocks"), [
+    ([0.7, 0.299, 0.001], [700, 299, 3]),
+    ([1 / (3 + i) for i in range(60)], [5 + i % 7 for i in range(60)]),
+    ([5.0, 1.0, 1.0], [3, 40, 60]),
+    ([2.5], [10]),
+])
+def test_stretches_dealt_at_once_give_the_schedule_slot_by_slot(spark, monkeypatch, weights, blocks, stretch):
+    monkeypatch.setattr(mixing, "STRETCH", stretch)
+    found = sorted((r["slot"], r["lane"], r["block"]) for r in mixing.schedule(spark, [*weights, 0.0], [*blocks, 4]).collect())
+    want = slot_by_slot(weights, blocks) + [(len(weights), k) for k in range(4)]
+    assert found == [(slot, *of) for slot, of in enumerate(want)]
+    assert mixing.schedule(spark, [], []).count() == 0
+
+
 def test_mixing_keeps_all_rows(odd, empty):
     rows = odd.drop("lane")
     out = mixing.mixed(rows, block_rows=2).collect()
     assert collections.Counter(tuple(r)[:7] for r in out) == collections.Counter(map(tuple, rows.collect()))
     assert len({r["position"] for r in out}) == len(out) and mixing.mixed(empty).count() == 0
     assert collections.Counter(map(tuple, mixing.in_order(odd).collect())) == collections.Counter(map(tuple, odd.collect()))
-    few = mixing.mixed(rows, weights={"s1": 1.0}, max_lanes=1)
+    few = mixing.mixed(rows, weights={"s1": 1.0})
     assert few.count() == rows.count() and {r["lane"] for r in few.where("source = 's1'").collect()} == {0}
 
 
