@@ -87,16 +87,17 @@ def isotonic(at: np.ndarray, hits: np.ndarray, counts: np.ndarray) -> tuple[np.n
 
 
 def fit(rows: DataFrame, size: int = 384, width: float = 6.0, ridge: float = 1e-4, seed: int = 7, bins: int = 400, max_rows: int = 200_000, parts: int = 24) -> QualityModel:
-    """Learns from rows (x, y), y 0 or 1.
+    """Learns from rows (id, x, y), y 0 or 1.
 
-    At most about max_rows rows are used, chosen by a hash of x. Each part sums its own share of the
+    At most about max_rows rows are used, chosen by a hash of x and id, and dealt to the parts by it, so
+    that copies of a text spread. Each part sums its own share of the
     normal equations; the driver gets a matrix of size + 1 rows and a calibration table of `bins` rows.
     Without rows of both kinds, every score is the share of 1 among them, or 0.5 without any.
     """
     total = rows.count()
     if total > max_rows:
-        rows = rows.where(F.pmod(F.xxhash64("x"), F.lit(1 << 20)) < int(max_rows / total * (1 << 20)))
-    rows = written(rows.select("x", F.col("y").cast("double").alias("y")).repartition(parts, F.xxhash64("x")), "labelled")
+        rows = rows.where(F.pmod(F.xxhash64("x", "id"), F.lit(1 << 20)) < int(max_rows / total * (1 << 20)))
+    rows = written(rows.select("id", "x", F.col("y").cast("double").alias("y")).repartition(parts, F.xxhash64("x", "id")), "labelled")
     moments = rows.agg(F.count("*"), F.avg("y"), *(f(F.get("x", F.lit(i))) for i in range(FEATURES) for f in (F.avg, F.stddev_pop))).first()
     if not moments[0] or moments[1] in (0.0, 1.0):
         model = QualityModel(np.zeros(FEATURES), np.ones(FEATURES), size, width, seed)
@@ -148,6 +149,6 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label_col: str = "quality
     """
     stats = written(document_statistics(docs, id_col, text_col), "statistics")
     known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).alias("y")).where(F.col("y").isNotNull() & ~held_out(F.col("__id")))
-    model = fit(stats.join(known, stats[id_col] == known["__id"]).select("x", "y"), **options)
+    model = fit(stats.join(known, stats[id_col] == known["__id"]).select(F.col("__id").alias("id"), "x", "y"), **options)
     out = scored(stats, model, id_col)
     return out.select(id_col, held_out(F.col(id_col)).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
