@@ -157,3 +157,41 @@ def test_inferred_migrations_that_are_refused(store):
 def test_volatile_functions(store):
     row = fetch(store, Request("Worker", properties=(Named("r", "random()"), Named("u", "uuid()"), Named("t", "now()"), Named("d", "currentDate()")), limit=1)).first()
     assert 0 <= row["r"] < 1 and len(row["u"]) == 36 and row["t"].date() >= row["d"]
+
+
+def test_rows_without_a_single_key_are_refused_where_one_is_needed(spark):
+    from orrery.semantic import store as demo
+
+    s = demo(spark, "/root/testdata/sf0.001")
+    for call in (lambda: changes.matching(s, "Lineitem", "quantity > 1"), lambda: changes.save(s, "Lineitem", deletes=s.table("lineitem"))):
+        with pytest.raises(ModelError):
+            call()
+
+
+def test_two_changes_of_one_row_are_an_error(spark):
+    old = spark.createDataFrame([(1, "a"), (2, "b")], "id bigint, name string")
+    twice = spark.createDataFrame([(1, "x"), (1, "y")], "id bigint, name string")
+    with pytest.raises(Exception, match="several changes of 1"):
+        changes.updated(old, twice, "id", ["name"]).collect()
+
+
+def test_migration_validates_and_names_its_start(spark, store):
+    strict = Model(Entity("Worker", "worker", "id", [Attribute("name"), Attribute("pay", "integer32", minimum=8)]))
+    assert migration.migrate(store, strict).table("worker").count() == 4
+    with pytest.raises(ModelError, match="pay breaks minimum"):
+        migration.migrate(store, strict, validate=True)
+    with pytest.raises(ModelError):
+        migration.staged(store, [migration.Stage(strict)], start=strict)
+    moved = {}
+    target = Model(Entity("Worker", "worker", "id", [Attribute("name")], [Relationship("boss", "Worker", key="boss_id")]))
+    mapping = migration.Mapping("Worker", "Worker", {"id": F.col("id") * 100, "name": F.col("name"), "boss_id": F.col("boss_id") * 100}, new_keys=True)
+    rows = {r["name"]: r for r in migration.migrate(store, target, [mapping], associations=moved).table("worker").collect()}
+    assert sorted(r["id"] for r in rows.values()) == [1, 2, 3, 4] and rows["z"]["boss_id"] == rows["y"]["id"] and rows["x"]["boss_id"] is None
+    assert keys(moved["Worker"], "old_id") == [100, 200, 300, 400]
+
+
+def test_a_kind_of_store_must_be_registered(spark, store, tmp_path):
+    xml_store.write(store, str(tmp_path / "x"))
+    assert tables.opened(spark, MODEL, "xml", str(tmp_path / "x")).table("worker").count() == 4
+    with pytest.raises(ModelError):
+        tables.opened(spark, MODEL, "nothing", "")

@@ -108,3 +108,50 @@ def test_bad_models():
         Model(Entity("A", "a", "id", [Attribute("x", "undefined")]))
     with pytest.raises(ModelError):
         Model(Entity("A", "a", "id", [], [Relationship("b", "B", key="b_id")]))
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_existence_is_a_semi_or_anti_join_and_all_reads_members_once(spark):
+    from orrery.semantic import store as demo
+
+    s = demo(spark, "/root/testdata/sf0.001")
+    some = plan_of(fetch(s, Request("Order", "ANY lineitems.quantity > 48", properties=("objectID",))))
+    assert "LeftSemi" in some and "LeftOuter" not in some
+    assert "LeftAnti" in plan_of(fetch(s, Request("Order", "NOT (ANY lineitems.quantity > 48)", properties=("objectID",))))
+    every = plan_of(fetch(s, Request("Order", "ALL lineitems.quantity > 2", properties=("objectID",))))
+    assert "LeftSemi" in every and every.count("lineitem.parquet") <= 2  # the path stands once or twice in a scan's text
+    counted = plan_of(fetch(s, Request("Order", "lineitems.@count > 3", sort=("lineitems.@count",), properties=("objectID", "lineitems.@count"))))
+    assert counted.count("lineitem.parquet") <= 2
+    page = plan_of(fetch(s, Request("Order", sort=("-totalPrice", "objectID"), limit=5, shape={"lineitems": {"quantity": None}})))
+    assert "LeftSemi" in page
+
+
+def test_requests_within_expressions_give_one_value(store):
+    many = Request("Track", properties=("n",))
+    with pytest.raises(ModelError):
+        fetch(store, Request("Track", "n == %@", (many,), properties=("n",)))
+    assert ids(store, "n == %@", Request("Track", sort=("-n",), limit=1, properties=("n",))) == [6]
+    assert ids(store, "objectID IN %@", list(range(2, 400))) == [2, 3, 4, 5, 6]
+    assert ids(store, "NOT (album IN %@)", Request("Album", 'name == "A"', result="ids")) == [4, 5]
+
+
+def test_accents_of_any_letter(store, spark):
+    words = spark.createDataFrame([(1, "Łódź", 1, None, None), (2, "cafe\u0301", 2, None, None), (3, "Ǻstrom", 3, None, None)], "id bigint, title string, n int, blob binary, album_id bigint")
+    other = Store(spark, MODEL, {**store.tables, "track": words})
+    assert ids(other, 'title ==[d] "café"') == [2] and ids(other, 'title BEGINSWITH[cd] "a"') == [3] and ids(other, 'title ENDSWITH[d] "dz"') == [1]
+
+
+def test_no_volatile_part_is_cached():
+    assert not Request("Track", properties=(Named("t", "now()"),)).cacheable()
+    assert not Request("Track", "n IN %@", (Request("Album", result="ids"),)).cacheable()
+    assert Request("Track", "n > 2", properties=("title",)).cacheable()
+
+
+def test_masks_hold_below_blocks_and_derived_values(store):
+    from orrery.operators.expressions import Block
+
+    rows = fetch(store, Request("Album", sort=("-secret",), properties=("name", Named("shown", Block(lambda get: get("secret")))))).collect()
+    assert [(r["name"], r["shown"]) for r in rows] == [("C", "***"), ("A", "***"), ("B", None)]
