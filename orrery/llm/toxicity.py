@@ -1,4 +1,9 @@
-"""Toxicity grades by cumulative-link ordinal regression over sparse word features."""
+"""Toxicity grades by cumulative-link ordinal regression over sparse word features.
+
+The labels at hand are 0 and 1, so the two grades above 0 are told apart by us: a marked document is
+grade 2 if it holds many of the words that most raise the odds of the label. Severity says how much of
+such wording a document has, not how grave a person would find it.
+"""
 
 from __future__ import annotations
 
@@ -85,7 +90,7 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     each_word = rows.select((F.col("y") > 0).cast("int").alias("m"), F.explode("words").alias("word")).groupBy("word").agg(F.sum("m").alias("a"), F.count("*").alias("n"))
     odds = F.log((F.col("a") + 0.5) / (marked - F.col("a") + 0.5)) - F.log((F.col("n") - F.col("a") + 0.5) / (clean - F.col("n") + F.col("a") + 0.5))
     error = F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("n") - F.col("a") + 0.5))
-    best = each_word.where("n >= 5").withColumn("z", odds / error).orderBy(F.abs("z").desc(), "word").limit(size).select("word", "z").collect()
+    best = each_word.where(F.col("n") >= min(5, marked, clean)).withColumn("z", odds / error).orderBy(F.abs("z").desc(), "word").limit(size).select("word", "z").collect()
     vocabulary = [r["word"] for r in best]
     strongest = {r["word"] for r in sorted(best, key=lambda r: -r["z"])[:markers] if r["z"] > 3}
     wanted = F.array_intersect("words", F.lit(vocabulary)).alias("words")
