@@ -4,6 +4,7 @@ import collections
 import functools
 import hashlib
 import math
+import re
 import zlib
 
 import numpy as np
@@ -153,6 +154,30 @@ def test_isotonic_levels_never_fall():
     assert level.tolist() == [0.25, 0.75] and at.tolist() == [0.5, 2.5]
 
 
+def test_quality_against_a_dense_fit(spark, sf):
+    """The same features solved at once with numpy, and isotonic levels by their min-max formula."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    marks = {r["doc_id"]: r["quality"] for r in labels.collect() if r["quality"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2}
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    ids = sorted(set(marks) & set(texts))
+    x, y = np.array([quality.statistics(texts[i]) for i in ids]), np.array([float(marks[i]) for i in ids])
+    model = quality.QualityModel(x.mean(0), np.maximum(x.std(0), 1e-3), 384, 6.0, 7)
+    z = model.lift(x)
+    weights = np.linalg.solve(z.T @ z + 1e-4 * len(z) * np.eye(z.shape[1]), z.T @ y)
+    raw = z @ weights
+    bins = np.clip((raw + 0.5) / 2 * 400, 0, 399).astype(int)
+    at = np.array([raw[bins == b].mean() for b in np.unique(bins)])
+    hits, n = (np.array([f(y[bins == b]) for b in np.unique(bins)], float) for f in (np.sum, len))
+    level = [max(min(hits[j : k + 1].sum() / n[j : k + 1].sum() for k in range(i, len(n))) for j in range(i + 1)) for i in range(len(n))]
+    pools = [[i for i in range(len(n)) if abs(level[i] - v) < 1e-12] for v in sorted(set(np.round(level, 12)))]
+    places = [np.average(at[p], weights=n[p]) for p in pools if p]
+    levels = [level[p[0]] for p in pools if p]
+    found = {r["doc_id"]: r["score"] for r in quality.quality_scores(docs, labels).collect()}
+    for i, t in texts.items():
+        want = np.interp(model.lift(quality.statistics(t)[None, :]) @ weights, places, levels)[0]
+        assert abs(found[i] - want) < 0.02, (i, found[i], want)
+
+
 # 4. Exact dedup
 
 
@@ -286,6 +311,36 @@ def test_a_stronger_license_rule_suppresses_what_lies_within_it(spark):
     assert [(d["start"], d["stop"], d["label"], d["rank"]) for d in found] == [(5, 35, "mit", 90)]
 
 
+def plain_detections(text):
+    """Every rule's matches, without a gate; then suppression span by span."""
+    text, found = text or "", []
+    for label, _, pattern, rank, _ in licenses.rules():
+        found += [(m.start(), -m.end(), -rank, label) for m in re.finditer(rf"\b{pattern}(?!\w)", text, re.I | re.S | re.A)]
+    outer = []
+    for one in sorted(found):
+        if not outer or -one[1] > -outer[-1][1]:
+            outer.append(one)
+    kept = []
+    for one in outer:
+        if not kept or -kept[-1][1] <= one[0]:
+            kept.append(one)
+        elif -kept[-1][2] < -one[2]:
+            kept[-1] = one
+    return [(a, -b, -r, label) for a, b, r, label in kept]
+
+
+def test_license_detections_against_a_plain_scan(spark, sf):
+    rows = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    grants = ["licensed under {}", "{} license", "SPDX-License-Identifier: {}", "see {}; subject to the terms of {}."]
+    names = ["MIT", "Apache 2.0", "GPL v2", "GNU General Public License v3.0", "BSD 3-Clause", "CC BY-SA 4.0", "the Artistic License 2.0", "Unlicense"]
+    texts = [t for t in rows if t and "licen" in t.lower()][:150] + [g.format(n, n) for g in grants for n in names]
+    texts += [s for _, _, p, _, _ in licenses.SENTENCES for s in samples(p)[:1]]
+    out = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in out:
+        assert [(d["start"], d["stop"], d["rank"], d["label"]) for d in r["detections"]] == plain_detections(texts[r["doc_id"]]), texts[r["doc_id"]][:300]
+    assert sum(bool(r["detections"]) for r in out) > 150
+
+
 # 7. Mixing
 
 
@@ -436,6 +491,37 @@ def test_toxicity_on_odd_rows(spark, odd, empty):
     assert toxicity.toxicity(empty, labels).count() == 0
 
 
+def test_toxicity_learns_from_few_labels(spark):
+    docs = spark.createDataFrame([(0, "vile awful words"), (1, "kind gentle words"), (3, "an awful vile thing"), (4, "a gentle kind thing")], "doc_id long, text string")
+    keep = [i for i in range(200) if zlib.crc32(str(i).encode()) % 4 != 2][:2]
+    docs = docs.withColumn("doc_id", F.when(F.col("doc_id") == 0, keep[0]).when(F.col("doc_id") == 1, keep[1]).otherwise(F.col("doc_id") + 1000))
+    labels = spark.createDataFrame([(keep[0], 1), (keep[1], 0)], "doc_id long, toxic int")
+    assert {r["doc_id"]: r["toxic"] for r in toxicity.toxicity(docs, labels).collect()} == {keep[0]: 1, keep[1]: 0, 1003: 1, 1004: 0}
+
+
+def test_ordinal_fit_is_the_most_likely_one():
+    """Against the penalised likelihood written out row by row: no step away from the fit raises it."""
+    draw = np.random.default_rng(8)
+    x = (draw.random((300, 4)) < 0.5).astype(np.float64)
+    y = np.clip((x @ [1.5, 1.0, 0, -0.5] + draw.logistic(0, 1, 300)).round(), 0, 2).astype(int)
+    ridge = 0.05
+
+    def likelihood(weights, cuts):
+        total = -ridge / 2 * sum(w * w for w in weights)
+        for row, grade in zip(x, y):
+            below = lambda k: 0.0 if k < 0 else 1.0 if k > 1 else 1 / (1 + math.exp(-(cuts[k] - sum(w * v for w, v in zip(weights, row)))))  # noqa: E731, B023
+            total += math.log(below(grade) - below(grade - 1))
+        return total
+
+    weights, cuts = toxicity.fit_ordinal(x, y, 3, ridge=ridge, rounds=2000)
+    best = likelihood(weights, cuts)
+    for i in range(6):
+        for step in (-0.05, 0.05):
+            moved = np.concatenate([weights, cuts])
+            moved[i] += step
+            assert likelihood(moved[:4], moved[4:]) < best + 1e-3
+
+
 def test_ordinal_grades_share_weights():
     draw = np.random.default_rng(2)
     x = (draw.random((600, 5)) < 0.5).astype(np.float32)
@@ -447,6 +533,50 @@ def test_ordinal_grades_share_weights():
 # 10. Language
 
 
+def test_language_against_plain_expectation_maximisation(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in docs.collect()]
+    sums = collections.defaultdict(collections.Counter)
+    for i, text, lang in rows:
+        if text is not None and lang is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            sums[lang].update(dict(enumerate(language.trigrams(text).tolist())))
+    langs = sorted(sums)
+    size = {k: sum(v.values()) + 0.5 * language.BUCKETS for k, v in sums.items()}
+
+    def shares(n, some):
+        own = [1 / len(some)] * len(some)
+        p = {t: [(sums[k][t] + 0.5) / size[k] for k in some] for t in n}
+        for _ in range(12):
+            new = [0.0] * len(some)
+            for t, times in n.items():
+                joint = [a * b for a, b in zip(p[t], own)]
+                for j, v in enumerate(joint):
+                    new[j] += times * v / sum(joint)
+            own = [v / sum(n.values()) for v in new]
+        return own, sum(times * math.log(sum(a * b for a, b in zip(p[t], own))) for t, times in n.items())
+
+    found = {r["doc_id"]: r for r in language.languages(docs).collect()}
+    for i, text, _ in rows[:40]:
+        if not text or not any(c.isalpha() for c in text):
+            assert found[i]["lang_pred"] == "und"
+            continue
+        n = {t: c for t, c in enumerate(language.trigrams(text).tolist()) if c}
+        all_, _ = shares(n, langs)
+        order = sorted(range(len(langs)), key=lambda j: -all_[j])
+        chosen = [order[0]]
+        own, best = shares(n, [langs[order[0]]])
+        for m in range(2, len(order) + 1):
+            if all_[order[m - 1]] < 0.005:
+                break
+            more, level = shares(n, [langs[j] for j in order[:m]])
+            if level - 2 * math.log(max(2, sum(n.values()))) <= best:
+                break
+            own, best, chosen = more, level, order[:m]
+            best = level
+        top = max(range(len(own)), key=lambda j: own[j])
+        assert found[i]["lang_pred"] == langs[chosen[top]] and abs(found[i]["score"] - own[top]) < 1e-6
+
+
 def test_language_on_rows_it_has_not_seen(spark, sf):
     wide = "/root/testdata/sf0.01"
     known = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{wide}/documents.parquet").select("doc_id", "lang").collect()}
