@@ -491,3 +491,14 @@ def migrate_discovered(s: Store) -> DataFrame:
     target = Model(Entity("Nation", "land", "id", [A("name")]))
     known = {(OLD.version_hash("Nation"), target.version_hash("Nation")): [migration.Mapping("Nation", "Nation", {"id": F.col("n_nationkey"), "name": F.col("n_name")}, lambda rows: rows.where("id = 3"))]}
     return migration.migrate(_old(s), target, migration.discovered(known, OLD, target, "Nation")).table("land")
+
+
+CODED = Model(Entity("Nation", "nation", "n_nationkey", [A("name", "transformable", "n_name", codec="hex")]))
+
+
+@made("SELECT n_nationkey AS objectID, n_name AS name FROM nation")
+def codec_round_trip(s: Store) -> DataFrame:
+    """A transformable attribute is written by its encoder and read by its decoder."""
+    codecs = {"hex": (F.hex, lambda c: F.unhex(c).cast("string"))}
+    rows = changes.encoded(s.table("nation"), CODED["Nation"].attributes[0], codecs)
+    return fetch(Store(s.spark, CODED, {"nation": rows}, codecs=codecs), Request("Nation", properties=("objectID", "name")))

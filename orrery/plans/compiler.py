@@ -109,7 +109,8 @@ class Plan:
             return F.struct(*(F.col(f"{alias}__{a.physical}").alias(a.name) for a in attribute.parts))
         if len(rest) > 1:
             raise ModelError(f"{rest[0]} is not a relationship")
-        return F.col(f"{alias}__{attribute.physical}")
+        stored = F.col(f"{alias}__{attribute.physical}")
+        return self.store.codecs[attribute.codec][1](stored) if attribute.codec in self.store.codecs else stored
 
     # To-many relationships
 
