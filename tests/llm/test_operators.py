@@ -75,6 +75,21 @@ def test_encoders_agree_with_the_library_on_odd_texts(texts):
         assert own.encode(t) == (little(want), tok.decode(want, skip_special_tokens=False))
 
 
+def test_token_files_are_skipped_by_ranges_and_bloom_filters(spark):
+    docs = spark.range(0, 48_000, 2).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    path = scratch(spark, "skipped")
+    token_files.write_tokens(docs, tokenizer_path("byte_bpe_50k.json"), path)
+
+    def read(wanted):
+        rows = token_files.read_tokens(spark, path, wanted)
+        found = len(rows.collect())
+        return found, rows._jdf.queryExecution().executedPlan().collectLeaves().apply(0).metrics().apply("numOutputRows").value()
+
+    found, seen = read([10])
+    assert found == 1 and 0 < seen < 24_000
+    assert read([11]) == (0, 0)  # within a range, but not in its filter
+
+
 # 2. Nearest neighbours
 
 
@@ -113,6 +128,19 @@ def test_neighbours_of_vectors_without_clusters(spark):
     assert recall(spark, x, list(range(0, 10_000, 100))) >= 0.9
 
 
+def test_neighbours_of_the_given_embeddings(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").where(neighbours.usable(F.col("embedding").cast("array<double>"))).toPandas()
+    rows = rows[rows["embedding"].map(len) == rows["embedding"].map(len).mode()[0]].sort_values("vec_id")
+    x, ids = np.stack(rows["embedding"].to_numpy()).astype(np.float64), rows["vec_id"].to_numpy()
+    found = QUERIES["op2_neighbours"](spark, "/root/testdata/sf0.1").toPandas().groupby("query_id")["vec_id"].agg(set)
+    hits, asked = 0, [i for i in range(len(ids)) if ids[i] % 100 == 0]
+    for q in asked:
+        far = np.sqrt(((x - x[q]) ** 2).sum(1))
+        far[q] = np.inf
+        hits += len(found[ids[q]] & set(ids[np.lexsort((ids, far))[:10]].tolist()))
+    assert hits >= 0.9 * 10 * len(asked)
+
+
 def test_neighbours_within_thousands_of_near_copies(spark):
     draw = np.random.default_rng(6)
     x = draw.normal(0, 1, (5000, 64))
