@@ -14,7 +14,9 @@ average, with a deviation of 3, and pieces of 64 bits small enough for that radi
 pairs through. without_near_copies() therefore adds, to the pairs within `distance`, every pair that shares
 a shingle of its prefixes: of two sets of Jaccard similarity t or more, sorted by one order of all
 shingles, the first m - ceil(t * m) + 1 of each (of its m) have one in common, so no such pair is lost.
-The order puts frequent shingles last. The texts of all pairs are compared exactly.
+The order puts frequent shingles last. A pair is first held to its sketches: a bit is set for every value
+of a hash that some shingle has, so that two sketches differ in no more bits than the sets do in shingles.
+The texts of all pairs that pass are compared exactly.
 """
 
 from __future__ import annotations
@@ -24,12 +26,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import components, joined_to_groups, mapped, spread, without_ids, written
+from .shared import components, joined_to_groups, mapped, split_by_ids, spread, without_ids, written
 
 SEED = 42
+#: Words of 64 bits in a sketch.
+SKETCH = 32
 #: Fingerprints whose cells one task lists.
 FPS_A_TASK = 20_000
 #: Two-bit segments of a 32-bit half; its other segments have one bit.
@@ -145,14 +149,26 @@ def _frequent(docs: DataFrame, shingle: int, text_col: str, max_rows: int = 20_0
     return known[order], n[order]
 
 
+def _sketch(hashes: np.ndarray) -> np.ndarray:
+    bits = np.zeros(SKETCH * 64, np.uint8)
+    bits[(hashes >> np.uint64(20)) % np.uint64(SKETCH * 64)] = 1
+    return np.packbits(bits, bitorder="little").view("<i8")
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, h, text): h is a hash of the text, so that id and h name a text without carrying it."""
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
+
+
 def _prefixed(docs: DataFrame, shingle: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """(id, text, fp, m, prefix, node): each row with its fingerprint, its number of shingles, its prefix and a number."""
+    """(id, h, fp, m, prefix, sketch, node): each row with its fingerprint, its number of shingles, its prefix, its sketch and a number."""
     known, often = _frequent(docs, shingle, text_col)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps, sizes, prefixes = [], [], []
-            for t in b.column(1):
+            fps, sizes, prefixes, sketches = [], [], [], []
+            for t in b.column(2):
                 hashes = _digests(grams(t.as_py(), shingle))
                 fps.append(_majority(hashes))
                 own = np.unique(hashes) if len(hashes) else np.zeros(1, "<u8")  # texts without words are alike
@@ -163,16 +179,32 @@ def _prefixed(docs: DataFrame, shingle: int, similarity: float, id_col: str, tex
                 keep = len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1
                 sizes.append(len(own))
                 prefixes.append(own[np.lexsort((own, rank))[:keep]].view("<i8"))
-            columns = [b.column(0), b.column(1), pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "text", "fp", "m", "prefix"])
+                sketches.append(_sketch(own))
+            columns = [b.column(0), b.column(1), pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "h", "fp", "m", "prefix", "sketch"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    found = mapped(rows, each, f"id {rows.schema[0].dataType.simpleString()}, text string, fp bigint, m int, prefix array<bigint>")
+    rows = _keyed(docs, id_col, text_col)
+    found = mapped(rows, each, f"id {rows.schema[0].dataType.simpleString()}, h bigint, fp bigint, m int, prefix array<bigint>, sketch array<bigint>")
     return written(found.withColumn("node", F.monotonically_increasing_id()), "prefixes")
 
 
-def _similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(a, b): the pairs whose sets of shingles have the Jaccard similarity, compared by the shingles themselves."""
+def _likely(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): the pairs whose sketches do not rule the similarity out.
+
+    Sets of similarity t differ in (1 - t) / (1 + t) of their sizes' sum at most.
+    """
+    one = rows.select(F.col("node").alias("a"), F.col("m").alias("m1"), F.col("sketch").alias("s1"))
+    two = rows.select(F.col("node").alias("b"), F.col("m").alias("m2"), F.col("sketch").alias("s2"))
+    differ = F.aggregate(F.zip_with("s1", "s2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    bound = (F.col("m1") + F.col("m2")) * ((1 - similarity) / (1 + similarity)) + 1e-6
+    return written(pairs.join(one, "a").join(two, "b").where(differ <= bound).select("a", "b"), "likely-pairs")
+
+
+def _similar(pairs: DataFrame, rows: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(a, b): the pairs whose sets of shingles have the Jaccard similarity, compared by the shingles themselves.
+
+    docs are _keyed(); only the texts of rows that stand in a pair are fetched.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, known = None, set()
@@ -187,44 +219,52 @@ def _similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float
                 alike.append(not every or both / every >= similarity)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
+    likely = _likely(pairs, rows, similarity)
+    nodes = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
+    wanted = written(rows.select("node", "id", "h").join(nodes, "node", "left_semi"), "wanted")
+    _, near = split_by_ids(docs, F.col("id"), wanted.select("id"))
+    same = near["id"].eqNullSafe(wanted["id"]) & (near["h"] == wanted["h"])
+    texts = written(near.join(wanted, same).select("node", "text").dropDuplicates(["node"]), "texts")  # rows may repeat
     one, two = texts.select(F.col("node").alias("a"), F.col("text").alias("one")), texts.select(F.col("node").alias("b"), F.col("text").alias("two"))
-    return written(mapped(pairs.join(two, "b").join(one, "a").select("a", "b", "one", "two"), each, "a bigint, b bigint"), "similar")
+    return written(mapped(likely.join(two, "b").join(one, "a").select("a", "b", "one", "two"), each, "a bigint, b bigint"), "similar")
 
 
-def similar_groups(rows: DataFrame, shingle: int, similarity: float, distance: int) -> DataFrame:
+def similar_groups(rows: DataFrame, docs: DataFrame, shingle: int, similarity: float, distance: int) -> DataFrame:
     """(node, root): what each node of _prefixed() reaches over pairs of the similarity; nodes without such a pair are left out.
 
     First each node meets the least of every list that it stands in (of a fingerprint, of a shingle of its
     prefix) and fingerprints within `distance` meet. Then all pairs of a list meet that are not joined yet,
-    so that a large group of near copies costs no square of its size.
+    root by root, so that a large group of near copies costs no square of its size.
     """
     posts = rows.select("node", "m", F.explode("prefix").alias("gram"))
-    least = F.struct("node", "m")
-    lists = posts.groupBy("gram").agg(F.min(least).alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    shared = written(posts.join(lists, "gram"), "shared-shingles")
+    whole = Window.partitionBy("gram")
+    listed = posts.select("*", F.min(F.struct("node", "m")).over(whole).alias("hub"), F.count("*").over(whole).alias("n"))
+    shared = written(listed.where("n > 1").drop("n"), "shared-shingles")
     close = lambda x, y: (x >= y * similarity - 1e-6) & (y >= x * similarity - 1e-6)
     stars = shared.where((F.col("node") != F.col("hub.node")) & close(F.col("m"), F.col("hub.m"))).select(F.col("hub.node").alias("a"), F.col("node").alias("b"))
     prints = written(rows.groupBy("fp").agg(F.min("node").alias("least")), "prints")
-    same = rows.join(prints, "fp").where("node != least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    same = rows.select("fp", "node").join(prints, "fp").where("node != least").select(F.col("least").alias("a"), F.col("node").alias("b"))
     ends = links(prints, distance).join(prints.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(prints.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b")
     tried = written(stars.union(same).union(ends.select(F.least("x", "y"), F.greatest("x", "y"))).distinct(), "pairs")
-    nodes = shared.select("node").union(tried.select("a")).union(tried.select("b")).distinct()
-    texts = written(rows.select("node", "text").join(nodes, "node", "left_semi"), "texts")
-    first = _similar(tried, texts, shingle, similarity)
+    first = _similar(tried, rows, docs, shingle, similarity)
     rooted = shared.drop("hub").join(components(first, "a", "b"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     split = rooted.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("gram")
     rooted = written(rooted.join(split, "gram", "left_semi"), "rooted")
+    roots = rooted.select("gram", "root").distinct()
+    ways = roots.join(roots.withColumnRenamed("root", "root2"), "gram").where("root < root2")
     other = rooted.select("gram", *(F.col(c).alias(f"{c}2") for c in ("node", "m", "root")))
-    rest = rooted.join(other, "gram").where((F.col("node") < F.col("node2")) & (F.col("root") != F.col("root2")) & close(F.col("m"), F.col("m2")))
-    rest = written(rest.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-    return components(first.union(_similar(rest, texts, shingle, similarity)), "a", "b")
+    rest = rooted.join(ways, ["gram", "root"]).join(other, ["gram", "root2"]).where(close(F.col("m"), F.col("m2")))
+    rest = rest.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
+    rest = written(rest.join(tried, ["a", "b"], "left_anti"), "pairs")
+    return components(first.union(_similar(rest, rows, docs, shingle, similarity)), "a", "b")
 
 
 def without_near_copies(docs: DataFrame, shingle: int = 5, distance: int = 3, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
     """The rows of docs, all columns, but those that reach a smaller id over pairs of texts that share
     `similarity` of their shingles (Jaccard) or more. Rows without an id stay; rows that share an id go together."""
     rows = _prefixed(docs, shingle, similarity, id_col, text_col)
-    named = written(rows.select("id", "node").join(similar_groups(rows, shingle, similarity, distance), "node"), "groups")
+    found = similar_groups(rows, _keyed(docs, id_col, text_col), shingle, similarity, distance)
+    named = written(rows.select("id", "node").join(found, "node"), "groups")
     kept = named.groupBy("root").agg(F.min("id").alias("component_id"))
     gone = named.join(kept, "root").where(F.col("id") != F.col("component_id")).select("id").distinct()
     return without_ids(docs, id_col, written(gone, "gone"))
