@@ -130,7 +130,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, id_col
     return joined_to_groups(fps, written(named, "named"), "fp", "n").select(id_col, "fp", "component_id", "n_links")
 
 
-def _frequent(docs: DataFrame, shingle: int, text_col: str, max_rows: int = 20_000, max_grams: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+def _frequent(docs: DataFrame, shingle: int, text_col: str, max_rows: int = 100_000, max_grams: int = 400_000) -> tuple[np.ndarray, np.ndarray]:
     """(digests in order, how often) of shingles found in several of about max_rows texts; only the order of prefixes rests on it."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,7 +142,7 @@ def _frequent(docs: DataFrame, shingle: int, text_col: str, max_rows: int = 20_0
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
     if total > max_rows:
         texts = texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(max_rows / total * (1 << 20)))
-    seen = mapped(texts, each, "gram bigint").groupBy("gram").agg(F.count("*").alias("n")).where("n > 2")
+    seen = mapped(texts, each, "gram bigint").groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
     rows = seen.orderBy(F.desc("n"), "gram").limit(max_grams).toArrow()
     known, n = rows.column("gram").to_numpy().view("<u8"), rows.column("n").to_numpy()
     order = known.argsort()
