@@ -144,13 +144,13 @@ def schedule(spark: SparkSession, weights: list[float], blocks: list[int]) -> Da
 
 
 def _offsets(counts: DataFrame) -> DataFrame:
-    """(lane, bucket, offset): the rows of a lane in the buckets before, added up within groups of buckets and over the groups."""
+    """(lane, bucket, size, offset): the rows of a lane in the buckets before, added up within groups of buckets and over the groups."""
     counts = counts.withColumn("part", F.floor(F.col("bucket") / BUCKETS_A_SUM))
     ahead = lambda *by: Window.partitionBy("lane", *by).orderBy("bucket" if by else "part").rowsBetween(Window.unboundedPreceding, -1)
     sums = counts.groupBy("lane", "part").agg(F.sum("size").alias("size"))
     base = sums.select("lane", "part", F.coalesce(F.sum("size").over(ahead()), F.lit(0)).alias("base"))
-    inside = counts.select("lane", "part", "bucket", F.coalesce(F.sum("size").over(ahead("part")), F.lit(0)).alias("inside"))
-    return inside.join(base, ["lane", "part"]).select("lane", "bucket", (F.col("base") + F.col("inside")).alias("offset"))
+    inside = counts.select("lane", "part", "bucket", "size", F.coalesce(F.sum("size").over(ahead("part")), F.lit(0)).alias("inside"))
+    return inside.join(base, ["lane", "part"]).select("lane", "bucket", "size", (F.col("base") + F.col("inside")).alias("offset"))
 
 
 def _placed(docs: DataFrame, weights: dict | None, power: float, block_rows: int, source_col: str, id_col: str) -> DataFrame:
@@ -167,11 +167,17 @@ def _placed(docs: DataFrame, weights: dict | None, power: float, block_rows: int
     rows = rows.join(named, F.col("of").eqNullSafe(F.col("source")))
     rows = rows.select("row", "id", "h", "lane", F.pmod(F.col("h"), F.ceil(F.col("lane_n") / ROWS_A_BUCKET)).alias("bucket"))
     counts = rows.groupBy("lane", "bucket").agg(F.count("*").alias("size"))
+    # The slots of each bucket's blocks, so that rows meet them where their bucket is numbered.
+    offsets = written(_offsets(counts), "offsets")
+    blocks = offsets.select("lane", "bucket", F.explode(F.sequence(F.floor(F.col("offset") / block_rows), F.floor((F.col("offset") + F.col("size") - 1) / block_rows))).alias("block"))
+    dealt = blocks.join(schedule(spark, weight[:own] + [0.0] * (len(sizes) - own), [-(-x // block_rows) for x in sizes]), ["lane", "block"])
+    slots = dealt.groupBy("lane", "bucket").agg(F.transform(F.array_sort(F.collect_list(F.struct("block", "slot"))), lambda x: x["slot"]).alias("slots"))
+    places = written(offsets.join(slots, ["lane", "bucket"]).select("lane", "bucket", "offset", "slots"), "places")
     inside = Window.partitionBy("lane", "bucket").orderBy("h", "id")
-    rows = rows.withColumn("seq", F.row_number().over(inside) - 1).join(_offsets(counts), ["lane", "bucket"]).select("row", "lane", (F.col("seq") + F.col("offset")).alias("seq"))
-    rows = rows.withColumn("block", F.floor(F.col("seq") / block_rows))
-    rows = rows.join(schedule(spark, weight[:own] + [0.0] * (len(sizes) - own), [-(-x // block_rows) for x in sizes]), ["lane", "block"])
-    return rows.select("row", "lane", "slot", (F.col("slot") * block_rows + F.col("seq") % block_rows).alias("position"))
+    rows = rows.withColumn("place", F.row_number().over(inside) - 1).join(places, ["lane", "bucket"])
+    seq = F.col("offset") + F.col("place")
+    slot = F.get("slots", (F.floor(seq / block_rows) - F.floor(F.col("offset") / block_rows)).cast("int"))
+    return rows.select("row", "lane", slot.alias("slot"), (slot * block_rows + seq % block_rows).alias("position"))
 
 
 def mixed(docs: DataFrame, weights: dict | None = None, power: float = 0.5, block_rows: int = 32, source_col: str = "source", id_col: str = "doc_id") -> DataFrame:
