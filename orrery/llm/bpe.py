@@ -60,7 +60,7 @@ class PrefixEncoder:
         for token, text in units.items():
             self.automaton.add_word(text, (token, len(text)))
         self.automaton.make_automaton()
-        self.suffix, self.known = bool(suffix), {}
+        self.suffix, self.pairs, self.known = bool(suffix), 0, {token: {} for token in units}
 
     def compatible(self, left: int, right: int, before: float = float("inf")) -> bool:
         """Whether no merge earlier than `before` joins symbols across the border of two finished tokens."""
@@ -82,27 +82,36 @@ class PrefixEncoder:
             return []
         if self.suffix:
             symbols = symbols[:-1] + chr(ord(symbols[-1]) + LAST)
-        last, known = [None] * (len(symbols) + 1), self.known
-        for end, (token, size) in self.automaton.iter(symbols):
+        size = len(symbols)
+        last, starts, known = [None] * (size + 1), [0] * (size + 1), self.known
+        for end, (token, length) in self.automaton.iter(symbols):
             end += 1
             if last[end] is not None:
                 continue
-            if start := end - size:
+            if start := end - length:
                 if (left := last[start]) is None:
                     continue
-                if (fits := known.get((left[0], token))) is None:
-                    if len(known) >= CACHE:
-                        known.clear()
-                    fits = known[left[0], token] = self.compatible(left[0], token)
+                if (fits := known[token].get(left)) is None:
+                    fits = self._fits(left, token)
                 if not fits:
                     continue
-            last[end] = (token, start)
-        out, end = [], len(symbols)
+            last[end], starts[end] = token, start
+        out, end = [], size
         while end:
-            token, end = last[end]
-            out.append(token)
+            out.append(last[end])
+            end = starts[end]
         return out[::-1]
 
+    def _fits(self, left: int, token: int) -> bool:
+        """compatible(), remembered for CACHE pairs at most."""
+        if self.pairs >= CACHE:
+            self.pairs = 0
+            for some in self.known.values():
+                some.clear()
+        self.pairs += 1
+        fits = self.known[token][left] = self.compatible(left, token)
+        return fits
+
 
 class Tokenizer:
     """What a tokenizer file says: special strings, NFC, lower case, a split pattern, byte symbols, BPE."""
@@ -126,17 +135,20 @@ class Tokenizer:
         self.values = {s: b for b, s in enumerate(self.bytes)}
         self.chunks, self.words = _Cache(self._chunk), _Cache(self._word)
 
-    def _word(self, word: str) -> list[int]:
-        return self.bpe.word(word if word.isascii() and word.isalnum() else "".join([self.bytes[b] for b in word.encode()]))
+    def _word(self, word: str) -> tuple[bytes, str]:
+        ids = self.bpe.word(word if word.isascii() and word.isalnum() else "".join([self.bytes[b] for b in word.encode()]))
+        return array("I", ids).tobytes(), " ".join([self.names[i] for i in ids])
 
     def _chunk(self, chunk: str) -> tuple[bytes, str]:
         if chunk.isascii():
             text = chunk.lower()
-            words = [text] if text.isalpha() else self.split.findall(text)
+            if text.isalpha():
+                return self.words[text]
+            words = self.split.findall(text)
         else:
             words = self._unusual(chunk)
-        ids = [i for w in words for i in self.words[w]]
-        return array("I", ids).tobytes(), " ".join(map(self.names.__getitem__, ids))
+        found = [self.words[w] for w in words]
+        return b"".join([f[0] for f in found]), " ".join([f[1] for f in found if f[0]])
 
     def _unusual(self, chunk: str) -> list[str]:
         if max(chunk) < "\u0250":
