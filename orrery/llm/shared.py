@@ -73,8 +73,8 @@ def forget(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Words of an id filter at most: 2048 of 4 KB, so 8 MB whatever the number of ids.
-FILTER_WORDS = 2048
+#: Words of an id filter at most: 1024 of 4 KB, so 4 MB whatever the number of ids.
+FILTER_WORDS = 1024
 #: A group with more than this part of all rows is joined by broadcast; there are fewer such groups than its reciprocal.
 HOT_SHARE = 1 / 1024
 
@@ -86,7 +86,7 @@ def _place(key: Column) -> Column:
 def split_by_ids(rows: DataFrame, key: Column, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """rows in two parts: those whose key is surely not among ids (their first column), and the others.
 
-    ids become a bit each in a filter of 8 MB at most, which every task tests its rows against where they
+    ids become a bit each in a filter of 4 MB at most, which every task tests its rows against where they
     are read, so that only the second part need be shuffled. Both parts keep the columns of rows. Null keys
     fall into the second part.
     """
