@@ -26,6 +26,8 @@ from .shared import written
 
 #: Rows of a lane that are numbered together in one window, and buckets of a lane that are added up together.
 ROWS_A_BUCKET, BUCKETS_A_SUM = 1024, 1024
+#: A list of so many sources at most is sent to the rows; with more, rows and sources meet by shuffle.
+FEW_SOURCES = 100_000
 #: Slots of a stretch, and slots whose blocks are listed before they are added to the stretch's list.
 STRETCH, RUN = 4096, 64
 #: A slot's bound this close to a whole number counts as that number.
@@ -162,6 +164,7 @@ def _placed(docs: DataFrame, weights: dict | None, power: float, block_rows: int
     sizes = n[:own] + ([sum(n[own:])] if own < len(n) else [])
     kind = docs.schema[source_col].dataType.simpleString()
     named = spark.createDataFrame([(r["source"], i, sizes[i]) for r, i in zip(table, lane)], f"source {kind}, lane int, lane_n bigint")
+    named = F.broadcast(named) if len(table) <= FEW_SOURCES else named
     odd = F.when(F.col(id_col).isNull(), F.monotonically_increasing_id())  # so that rows without an id spread
     rows = docs.select(F.struct("*").alias("row"), F.col(source_col).alias("of"), F.col(id_col).alias("id"), F.xxhash64(F.col(id_col).cast("string"), F.lit("mix"), odd).alias("h"))
     rows = rows.join(named, F.col("of").eqNullSafe(F.col("source")))
