@@ -10,11 +10,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import mapped, written
+from .shared import mapped, spread, written
 
 #: Bytes that a statistic counts; each group's share of the text is one statistic.
 GROUPS = (b"|", b"%", b"#", b"*", b"&", b"$", b"@", b"<>", b"{}[]", b"()", b"=+~^", b"_-", b"/\\", b"'\"`", b".", b",", b";:", b"!?", b"\n", b"\t\r\x0b\x0c", b" ", b"0123456789", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 FEATURES = len(GROUPS) + 7
+#: Labelled rows whose normal equations one task sums.
+ROWS_A_PART = 65_536
 _MEMBER = np.zeros((256, len(GROUPS)), np.float64)
 for _g, _bytes in enumerate(GROUPS):
     _MEMBER[list(_bytes), _g] = 1
@@ -86,17 +88,15 @@ def isotonic(at: np.ndarray, hits: np.ndarray, counts: np.ndarray) -> tuple[np.n
     return sums[:, 0] / sums[:, 2], sums[:, 1] / sums[:, 2]
 
 
-def fit(rows: DataFrame, size: int = 384, width: float = 6.0, ridge: float = 1e-4, seed: int = 7, bins: int = 400, max_rows: int = 200_000, parts: int = 24) -> QualityModel:
-    """Learns from rows (id, x, y), y 0 or 1.
+def fit(rows: DataFrame, size: int = 384, width: float = 6.0, ridge: float = 1e-4, seed: int = 7, bins: int = 400, parts: int = 24) -> QualityModel:
+    """Learns from all rows (id, x, y), y 0 or 1.
 
-    At most about max_rows rows are used, chosen by a hash of x and id, and dealt to the parts by it, so
-    that copies of a text spread. Each part sums its own share of the
+    Rows are dealt to the parts by a hash of x and id, so that copies of a text spread; there are more
+    parts where `parts` would get more than ROWS_A_PART rows each. Each part sums its own share of the
     normal equations; the driver gets a matrix of size + 1 rows and a calibration table of `bins` rows.
     Without rows of both kinds, every score is the share of 1 among them, or 0.5 without any.
     """
-    total = rows.count()
-    if total > max_rows:
-        rows = rows.where(F.pmod(F.xxhash64("x", "id"), F.lit(1 << 20)) < int(max_rows / total * (1 << 20)))
+    parts = max(parts, spread(rows, ROWS_A_PART))
     rows = written(rows.select("id", "x", F.col("y").cast("double").alias("y")).repartition(parts, F.xxhash64("x", "id")), "labelled")
     moments = rows.agg(F.count("*"), F.avg("y"), *(f(F.get("x", F.lit(i))) for i in range(FEATURES) for f in (F.avg, F.stddev_pop))).first()
     if not moments[0] or moments[1] in (0.0, 1.0):

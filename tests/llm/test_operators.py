@@ -206,6 +206,15 @@ def test_quality_against_a_dense_fit(spark, sf):
         assert abs(found[i] - want) < 0.02, (i, found[i], want)
 
 
+def test_quality_learns_from_all_labelled_rows(spark):
+    """More rows than a bounded sample once took: the moments and the calibration are those of all."""
+    n = 210_000
+    marked = F.when(F.col("id") % 3 == 0, 1.0).otherwise(0.0)
+    rows = spark.range(0, n, 1, 4).select("id", F.concat(F.array(marked, F.col("id").cast("double")), F.array_repeat(F.lit(0.0), quality.FEATURES - 2)).alias("x"), marked.alias("y"))
+    model = quality.fit(rows, size=8)
+    assert abs(model.mean[1] - (n - 1) / 2) < 1e-3 and abs(model.mean[0] - 1 / 3) < 1e-9
+
+
 # 4. Exact dedup
 
 
