@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from orrery.model import Attribute, Entity, Model, ModelError, Relationship, Store, coerced
+from orrery.model import Attribute, Entity, FetchedProperty, Model, ModelError, Relationship, Store, coerced
 from orrery.operators import changes, conflicts
 from orrery.plans import migration
 from orrery.plans.compiler import fetch
@@ -195,3 +195,17 @@ def test_a_kind_of_store_must_be_registered(spark, store, tmp_path):
     assert tables.opened(spark, MODEL, "xml", str(tmp_path / "x")).table("worker").count() == 4
     with pytest.raises(ModelError):
         tables.opened(spark, MODEL, "nothing", "")
+
+
+def test_a_fetched_property_of_one_group_is_dealt_to_many_tasks(spark, monkeypatch):
+    """One large group, small ones, nulls: the pairs are those of a nested loop, and no task makes a large part of them."""
+    monkeypatch.setattr(changes, "ROWS_A_CUT", 16, raising=False)
+    peers = FetchedProperty("peers", "Worker", "dep == $FETCH_SOURCE.dep AND pay > $FETCH_SOURCE.pay")
+    model = Model(Entity("Worker", "worker", "id", [Attribute("dep", "integer64"), Attribute("pay", "integer32")], [], [peers]))
+    rows = [(i, 1 if i < 300 else None if i % 7 == 0 else i % 20, None if i % 50 == 3 else i * 37 % 101) for i in range(400)]
+    store = Store(spark, model, {"worker": spark.createDataFrame(rows, "id bigint, dep bigint, pay int")})
+    found = changes.fetched(store, "Worker", "peers")
+    want = sorted((s, t) for s, d, p in rows for t, e, q in rows if None not in (d, p, q) and d == e and q > p)
+    assert sorted(tuple(r) for r in found.collect()) == want
+    parts = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(parts) < len(want) / 20, parts
