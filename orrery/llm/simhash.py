@@ -14,7 +14,11 @@ average, with a deviation of 3, and pieces of 64 bits small enough for that radi
 pairs through. without_near_copies() therefore adds, to the pairs within `distance`, every pair that shares
 a shingle of its prefixes: of two sets of Jaccard similarity t or more, sorted by one order of all
 shingles, the first m - ceil(t * m) + 1 of each (of its m) have one in common, so no such pair is lost.
-The order puts frequent shingles last. A pair is first held to its sketches: a bit is set for every value
+The order puts frequent shingles last. Sets of m1 <= m2 shingles share t / (1 + t) * (m1 + m2) of them at
+least, and all they share follows the first one that they share: so only pairs meet of which each has
+that many left at the place of the shingle. Lists are dealt by classes of the smaller set's size, so that
+each text can tell alone whether it has, and families of texts that are not similar make no pairs.
+A pair is first held to its sketches: a bit is set for every value
 of a hash that some shingle has, so that two sketches differ in no more bits than the sets do in shingles.
 The texts of all pairs that pass are compared exactly.
 """
@@ -38,6 +42,8 @@ SKETCH = 32
 FPS_A_TASK = 20_000
 #: Two-bit segments of a 32-bit half; its other segments have one bit.
 PAIRS = 4
+#: Logarithm of the sizes' ratio within a class of sizes.
+CLASS = 0.04
 
 
 def grams(text: str | None, shingle: int) -> list[bytes]:
@@ -229,14 +235,36 @@ def _similar(pairs: DataFrame, rows: DataFrame, docs: DataFrame, shingle: int, s
     return written(mapped(likely.join(two, "b").join(one, "a").select("a", "b", "one", "two"), each, "a bigint, b bigint"), "similar")
 
 
+def _meeting(rooted: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): the pairs of nodes of different roots that may be similar, by rows (gram, node, m, place, root).
+
+    place is that of the gram in the node's ordered set. A similar pair passes at the first gram that it shares.
+    """
+    least = lambda m1, m2: (m1 + m2) * (similarity / (1 + similarity)) - 1e-6  # noqa: E731  what they must share
+    size_class = lambda m: F.floor(F.log(m.cast("double")) / CLASS)
+    m, left = F.col("m"), F.col("m") - F.col("place")
+    small = rooted.where(left >= least(m, m)).withColumn("class", size_class(m))
+    classes = F.sequence(size_class(F.greatest(F.ceil(m * similarity - 1e-6), F.lit(1))), size_class(m))
+    large = rooted.withColumn("class", F.explode(classes)).where(left >= least(m, F.exp(F.col("class") * CLASS) * (1 - 1e-9)))
+    large = large.select("gram", "class", *(F.col(c).alias(f"{c}2") for c in ("node", "m", "place", "root")))
+    small, large = written(small, "smaller-sets"), written(large, "larger-sets")
+    ways = small.select("gram", "class", "root").distinct().join(large.select("gram", "class", "root2").distinct(), ["gram", "class"]).where("root <> root2")
+    met = small.join(ways, ["gram", "class", "root"]).join(large, ["gram", "class", "root2"])
+    sized = (F.col("m") < F.col("m2")) | (F.col("m") == F.col("m2")) & (F.col("node") < F.col("node2"))
+    both = F.least(left, F.col("m2") - F.col("place2")) >= least(m, F.col("m2"))
+    met = met.where(sized & (m >= F.col("m2") * similarity - 1e-6) & both)
+    return met.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
+
+
 def similar_groups(rows: DataFrame, docs: DataFrame, shingle: int, similarity: float, distance: int) -> DataFrame:
     """(node, root): what each node of _prefixed() reaches over pairs of the similarity; nodes without such a pair are left out.
 
     First each node meets the least of every list that it stands in (of a fingerprint, of a shingle of its
-    prefix) and fingerprints within `distance` meet. Then all pairs of a list meet that are not joined yet,
-    root by root, so that a large group of near copies costs no square of its size.
+    prefix) and fingerprints within `distance` meet. Then all pairs of a list meet that are not joined yet
+    and that _meeting() does not rule out, root by root, so that a large group of near copies costs no
+    square of its size.
     """
-    posts = rows.select("node", "m", F.explode("prefix").alias("gram"))
+    posts = rows.select("node", "m", F.posexplode("prefix").alias("place", "gram"))
     whole = Window.partitionBy("gram")
     listed = posts.select("*", F.min(F.struct("node", "m")).over(whole).alias("hub"), F.count("*").over(whole).alias("n"))
     shared = written(listed.where("n > 1").drop("n"), "shared-shingles")
@@ -250,11 +278,7 @@ def similar_groups(rows: DataFrame, docs: DataFrame, shingle: int, similarity: f
     rooted = shared.drop("hub").join(components(first, "a", "b"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     split = rooted.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("gram")
     rooted = written(rooted.join(split, "gram", "left_semi"), "rooted")
-    roots = rooted.select("gram", "root").distinct()
-    ways = roots.join(roots.withColumnRenamed("root", "root2"), "gram").where("root < root2")
-    other = rooted.select("gram", *(F.col(c).alias(f"{c}2") for c in ("node", "m", "root")))
-    rest = rooted.join(ways, ["gram", "root"]).join(other, ["gram", "root2"]).where(close(F.col("m"), F.col("m2")))
-    rest = rest.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
+    rest = _meeting(rooted, similarity).distinct()
     rest = written(rest.join(tried, ["a", "b"], "left_anti"), "pairs")
     return components(first.union(_similar(rest, rows, docs, shingle, similarity)), "a", "b")
 

@@ -495,6 +495,25 @@ def test_near_duplicates_and_components(odd, empty):
     assert simhash.without_near_copies(odd).columns == odd.columns
 
 
+def test_a_family_of_unlike_texts_makes_few_pairs(spark, monkeypatch):
+    """Texts with one to four places of their own: those that are alike are found, the others hardly meet."""
+    draw, base = np.random.default_rng(8), [f"w{i}" for i in range(150)]
+    texts = [" ".join(w if j not in at else f"x{i}" for j, w in enumerate(base)) for i, at in enumerate(draw.choice(150, (240, 4), replace=True).tolist())]
+    texts += [t.replace("w7 ", "w7 w7 ") for t in texts[:20]] + [" ".join(base[:k]) for k in (118, 119, 120, 121, 122, 140)]
+    looked, likely = [], simhash._likely
+
+    def counted(pairs, *rest):
+        looked.append(pairs.count())
+        return likely(pairs, *rest)
+
+    monkeypatch.setattr(simhash, "_likely", counted)
+    left = {r["doc_id"] for r in simhash.without_near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    sets = [set(simhash.grams(t, 5)) for t in texts]
+    root = roots(range(len(texts)), lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8)
+    assert left == set(root.values()) and 20 < len(left) < 246
+    assert sum(looked) < 10 * len(texts), looked
+
+
 def test_links_lose_no_pair(spark):
     draw = np.random.default_rng(3)
     base = [int(x) for x in draw.integers(0, 1 << 63, 60, dtype=np.uint64)] + [0, (1 << 64) - 1]
