@@ -239,45 +239,61 @@ def _meeting(rooted: DataFrame, similarity: float) -> DataFrame:
     """(a, b): the pairs of nodes of different roots that may be similar, by rows (gram, node, m, place, root).
 
     place is that of the gram in the node's ordered set. A similar pair passes at the first gram that it shares.
+    Roots meet by the sizes of their sets and the most that a set of this size has left, so that each row of
+    a join is part of a pair that passes, but for the order of nodes of one size.
     """
     least = lambda m1, m2: (m1 + m2) * (similarity / (1 + similarity)) - 1e-6  # noqa: E731  what they must share
     size_class = lambda m: F.floor(F.log(m.cast("double")) / CLASS)
-    m, left = F.col("m"), F.col("m") - F.col("place")
+    m, left, must = F.col("m"), F.col("left"), least(F.col("m"), F.col("m2"))
+    rooted = rooted.select("gram", "node", "m", (m - F.col("place")).alias("left"), "root")
     small = rooted.where(left >= least(m, m)).withColumn("class", size_class(m))
     classes = F.sequence(size_class(F.greatest(F.ceil(m * similarity - 1e-6), F.lit(1))), size_class(m))
     large = rooted.withColumn("class", F.explode(classes)).where(left >= least(m, F.exp(F.col("class") * CLASS) * (1 - 1e-9)))
-    large = large.select("gram", "class", *(F.col(c).alias(f"{c}2") for c in ("node", "m", "place", "root")))
+    large = large.select("gram", "class", *(F.col(c).alias(f"{c}2") for c in ("node", "m", "left", "root")))
     small, large = written(small, "smaller-sets"), written(large, "larger-sets")
-    ways = small.select("gram", "class", "root").distinct().join(large.select("gram", "class", "root2").distinct(), ["gram", "class"]).where("root <> root2")
-    met = small.join(ways, ["gram", "class", "root"]).join(large, ["gram", "class", "root2"])
-    sized = (F.col("m") < F.col("m2")) | (F.col("m") == F.col("m2")) & (F.col("node") < F.col("node2"))
-    both = F.least(left, F.col("m2") - F.col("place2")) >= least(m, F.col("m2"))
-    met = met.where(sized & (m >= F.col("m2") * similarity - 1e-6) & both)
+    one = small.groupBy("gram", "class", "root", "m").agg(F.max("left").alias("left"))
+    two = large.groupBy("gram", "class", "root2", "m2").agg(F.max("left2").alias("left2"))
+    sized = (m <= F.col("m2")) & (m >= F.col("m2") * similarity - 1e-6)
+    ways = one.join(two, ["gram", "class"]).where((F.col("root") != F.col("root2")) & sized & (F.least("left", "left2") >= must))
+    ways = ways.select("gram", "class", "root", "m", "root2", "m2")
+    met = small.join(ways, ["gram", "class", "root", "m"]).where(left >= must).join(large, ["gram", "class", "root2", "m2"])
+    met = met.where((F.col("left2") >= must) & ((m < F.col("m2")) | (F.col("node") < F.col("node2"))))
     return met.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
 
 
+def _without_twins(rooted: DataFrame) -> DataFrame:
+    """rooted with one list for all those of the same nodes, under a hash of the nodes; lists of a single root are left out.
+
+    Of such lists a similar pair first shares the one that comes first, which is the same for all nodes.
+    Where hashes of different lists collide, more pairs pass, and none is lost.
+    """
+    lists = rooted.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.bit_xor(F.xxhash64("node")).alias("nodes"))
+    listed = rooted.join(lists.where("low < high").select("gram", "nodes"), "gram")
+    return listed.groupBy(F.col("nodes").alias("gram"), "node", "m", "root").agg(F.min("place").alias("place"))
+
+
 def similar_groups(rows: DataFrame, docs: DataFrame, shingle: int, similarity: float, distance: int) -> DataFrame:
     """(node, root): what each node of _prefixed() reaches over pairs of the similarity; nodes without such a pair are left out.
 
-    First each node meets the least of every list that it stands in (of a fingerprint, of a shingle of its
-    prefix) and fingerprints within `distance` meet. Then all pairs of a list meet that are not joined yet
+    First each node meets one node of every list that it stands in, and fingerprints within `distance` meet.
+    For a fingerprint that is its least node; for a shingle, the node with the fewest rarer shingles of its
+    own, which is the least altered of a family. Then all pairs of a list meet that are not joined yet
     and that _meeting() does not rule out, root by root, so that a large group of near copies costs no
     square of its size.
     """
     posts = rows.select("node", "m", F.posexplode("prefix").alias("place", "gram"))
     whole = Window.partitionBy("gram")
-    listed = posts.select("*", F.min(F.struct("node", "m")).over(whole).alias("hub"), F.count("*").over(whole).alias("n"))
+    listed = posts.select("*", F.min(F.struct("place", "node", "m")).over(whole).alias("hub"), F.count("*").over(whole).alias("n"))
     shared = written(listed.where("n > 1").drop("n"), "shared-shingles")
     close = lambda x, y: (x >= y * similarity - 1e-6) & (y >= x * similarity - 1e-6)
-    stars = shared.where((F.col("node") != F.col("hub.node")) & close(F.col("m"), F.col("hub.m"))).select(F.col("hub.node").alias("a"), F.col("node").alias("b"))
+    stars = shared.where((F.col("node") != F.col("hub.node")) & close(F.col("m"), F.col("hub.m"))).select(F.least("hub.node", "node").alias("a"), F.greatest("hub.node", "node").alias("b"))
     prints = written(rows.groupBy("fp").agg(F.min("node").alias("least")), "prints")
     same = rows.select("fp", "node").join(prints, "fp").where("node != least").select(F.col("least").alias("a"), F.col("node").alias("b"))
     ends = links(prints, distance).join(prints.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(prints.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b")
     tried = written(stars.union(same).union(ends.select(F.least("x", "y"), F.greatest("x", "y"))).distinct(), "pairs")
     first = _similar(tried, rows, docs, shingle, similarity)
     rooted = shared.drop("hub").join(components(first, "a", "b"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    split = rooted.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("gram")
-    rooted = written(rooted.join(split, "gram", "left_semi"), "rooted")
+    rooted = written(_without_twins(rooted), "rooted")
     rest = _meeting(rooted, similarity).distinct()
     rest = written(rest.join(tried, ["a", "b"], "left_anti"), "pairs")
     return components(first.union(_similar(rest, rows, docs, shingle, similarity)), "a", "b")

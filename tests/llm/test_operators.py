@@ -514,6 +514,47 @@ def test_a_family_of_unlike_texts_makes_few_pairs(spark, monkeypatch):
     assert sum(looked) < 10 * len(texts), looked
 
 
+def test_a_family_makes_few_pairs_whichever_text_comes_first(spark, monkeypatch):
+    """The first text differs from the others in so many places that it is like few of them, though it shares their lists."""
+    draw, base = np.random.default_rng(5), [f"w{i}" for i in range(150)]
+    places = [[75, 100, 125, 145]] + draw.choice(150, (300, 2), replace=True).tolist()
+    texts = [" ".join(w if j not in at else f"x{i}" for j, w in enumerate(base)) for i, at in enumerate(places)] + [" ".join(base)]
+    looked, likely = [], simhash._likely
+
+    def counted(pairs, *rest):
+        looked.append(pairs.count())
+        return likely(pairs, *rest)
+
+    monkeypatch.setattr(simhash, "_likely", counted)
+    left = {r["doc_id"] for r in simhash.without_near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)).collect()}
+    sets = [set(simhash.grams(t, 5)) for t in texts]
+    root = roots(range(len(texts)), lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8)
+    assert left == set(root.values())
+    assert sum(looked) < 10 * len(texts), looked
+
+
+def test_lists_meet_in_all_pairs_that_may_be_similar(spark):
+    """Against all pairs of each list, with lists of the same nodes and without."""
+    draw, posts = np.random.default_rng(6), []
+    sizes, root = draw.choice([1, 2, 5, 9, 10, 40, 41, 43, 49, 50, 144, 146, 1800], 90).tolist(), draw.integers(0, 30, 90).tolist()
+    lists = [sorted(draw.choice(90, int(draw.integers(2, 25)), replace=False).tolist()) for _ in range(40)]
+    start = {g: [int(draw.integers(0, max(1, sizes[n] // 5))) for n in nodes] for g, nodes in enumerate(lists)}
+    for g, nodes in enumerate(lists):
+        posts += [(g + 100 * twin, n, sizes[n], min(sizes[n] - 1, at + twin), root[n]) for twin in (range(3) if g % 2 else (0,)) for n, at in zip(nodes, start[g])]
+    rooted = spark.createDataFrame(posts, "gram long, node long, m int, place int, root long")
+    want = set()
+    for g in {p[0] for p in posts}:
+        for _, a, m, i, r in (p for p in posts if p[0] == g):
+            for _, b, n, j, s in (p for p in posts if p[0] == g):
+                if a < b and r != s and min(m, n) >= 0.8 * max(m, n) - 1e-6 and min(m - i, n - j) >= 4 / 9 * (m + n) - 1e-6:
+                    want.add((a, b))
+    for some in (rooted, simhash._without_twins(rooted)):
+        assert {tuple(r) for r in simhash._meeting(some, 0.8).collect()} == want and len(want) > 50
+    single = rooted.withColumn("root", F.lit(1))
+    twins = simhash._without_twins(rooted.where("gram % 2 = 1"))
+    assert twins.count() < rooted.where("gram % 2 = 1").count() / 2 and simhash._without_twins(single).count() == 0
+
+
 def test_links_lose_no_pair(spark):
     draw = np.random.default_rng(3)
     base = [int(x) for x in draw.integers(0, 1 << 63, 60, dtype=np.uint64)] + [0, (1 << 64) - 1]
