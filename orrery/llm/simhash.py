@@ -291,12 +291,12 @@ def similar_groups(rows: DataFrame, docs: DataFrame, shingle: int, similarity: f
     same = rows.select("fp", "node").join(prints, "fp").where("node != least").select(F.col("least").alias("a"), F.col("node").alias("b"))
     ends = links(prints, distance).join(prints.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(prints.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b")
     tried = written(stars.union(same).union(ends.select(F.least("x", "y"), F.greatest("x", "y"))).distinct(), "pairs")
-    first = _similar(tried, rows, docs, shingle, similarity)
-    rooted = shared.drop("hub").join(components(first, "a", "b"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    known = components(_similar(tried, rows, docs, shingle, similarity), "a", "b")
+    rooted = shared.drop("hub").join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = written(_without_twins(rooted), "rooted")
     rest = _meeting(rooted, similarity).distinct()
     rest = written(rest.join(tried, ["a", "b"], "left_anti"), "pairs")
-    return components(first.union(_similar(rest, rows, docs, shingle, similarity)), "a", "b")
+    return components(known.union(_similar(rest, rows, docs, shingle, similarity)), "node", "root")
 
 
 def without_near_copies(docs: DataFrame, shingle: int = 5, distance: int = 3, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:

@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from reference import fingerprint, license_words, roots
 
-from orrery.llm import bpe, exact_dedup, language, licenses, mixing, neighbours, quality, simhash, token_files, toxicity
+from orrery.llm import bpe, exact_dedup, language, licenses, mixing, neighbours, quality, shared, simhash, token_files, toxicity
 from orrery.llm.queries import QUERIES, SQL, tokenizer_path
 from orrery.llm.shared import scratch
 
@@ -495,6 +495,28 @@ def test_near_duplicates_and_components(odd, empty):
     assert simhash.without_near_copies(odd).columns == odd.columns
 
 
+def test_components_take_few_shuffles(spark, monkeypatch):
+    """Stars take no round, and a round deals its rows out five times at most."""
+    draw = np.random.default_rng(6)
+    stars = [(i, i % 7) for i in range(7, 60)]
+    mixed = [(f"n{a:04}", f"n{b:04}") for a, b in [*stars, (58, 59), (100, 3), (100, 200)]]
+    plans, written = [], shared.written
+
+    def counted(df, what):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, what)
+
+    monkeypatch.setattr(shared, "written", counted)
+    for kind, edges in (("bigint", stars), ("bigint", [(3, 3), (None, 4), (5, None)]), ("bigint", [(i, i + 1) for i in range(20)]), ("bigint", draw.integers(0, 90, (70, 2)).tolist()), ("string", mixed)):
+        plans.clear()
+        linked = {frozenset(e) for e in edges if None not in e and e[0] != e[1]}
+        found = shared.components(spark.createDataFrame([tuple(e) for e in edges], f"x {kind}, y {kind}"), "x", "y").collect()
+        want = roots(sorted(set().union(*linked)), lambda a, b: frozenset((a, b)) in linked)
+        assert sorted(tuple(r) for r in found) == sorted(want.items())
+        assert all(x.count("Exchange hashpartitioning") <= 5 for x in plans)
+        assert edges is not stars or len(plans) == 1
+
+
 def test_a_family_of_unlike_texts_makes_few_pairs(spark, monkeypatch):
     """Texts with one to four places of their own: those that are alike are found, the others hardly meet."""
     draw, base = np.random.default_rng(8), [f"w{i}" for i in range(150)]
