@@ -22,10 +22,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import sized, written
 
 #: Rows of a lane that are numbered together in one window, and buckets of a lane that are added up together.
 ROWS_A_BUCKET, BUCKETS_A_SUM = 1024, 1024
+#: Bytes of a row of a block.
+BYTES_A_BLOCK = 48
 #: A list of so many sources at most is sent to the rows; with more, rows and sources meet by shuffle.
 FEW_SOURCES = 100_000
 #: Slots of a stretch, and slots whose blocks are listed before they are added to the stretch's list.
@@ -173,7 +175,8 @@ def _placed(docs: DataFrame, weights: dict | None, power: float, block_rows: int
     # The slots of each bucket's blocks, so that rows meet them where their bucket is numbered.
     offsets = written(_offsets(counts), "offsets")
     blocks = offsets.select("lane", "bucket", F.explode(F.sequence(F.floor(F.col("offset") / block_rows), F.floor((F.col("offset") + F.col("size") - 1) / block_rows))).alias("block"))
-    dealt = blocks.join(schedule(spark, weight[:own] + [0.0] * (len(sizes) - own), [-(-x // block_rows) for x in sizes]), ["lane", "block"])
+    in_lane = [-(-x // block_rows) for x in sizes]
+    dealt = sized(blocks, sum(in_lane) * BYTES_A_BLOCK).join(schedule(spark, weight[:own] + [0.0] * (len(sizes) - own), in_lane), ["lane", "block"])
     slots = dealt.groupBy("lane", "bucket").agg(F.transform(F.array_sort(F.collect_list(F.struct("block", "slot"))), lambda x: x["slot"]).alias("slots"))
     places = written(offsets.join(slots, ["lane", "bucket"]).select("lane", "bucket", "offset", "slots"), "places")
     inside = Window.partitionBy("lane", "bucket").orderBy("h", "id")

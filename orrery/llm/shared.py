@@ -77,6 +77,8 @@ def forget(spark: SparkSession) -> None:
 FILTER_WORDS = 1024
 #: A group with more than this part of all rows is joined by broadcast; there are fewer such groups than its reciprocal.
 HOT_SHARE = 1 / 1024
+#: Bytes of a join's side up to which Spark may choose to broadcast it.
+FEW_BYTES = 16 << 20
 
 
 def _place(key: Column) -> Column:
@@ -123,6 +125,15 @@ def joined_to_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) ->
     return large.unionByName(small.select(*large.columns))
 
 
+def sized(side: DataFrame, size: int) -> DataFrame:
+    """side of a join, of about so many bytes in memory, which is not broadcast where that is more than FEW_BYTES.
+
+    Spark goes by the size of files, and by that of the rows below an explode(), so that it may send the
+    driver a table many times as large as it thinks.
+    """
+    return side if size <= FEW_BYTES else side.hint("merge")
+
+
 def spread(df: DataFrame, rows_a_part: int) -> int:
     """How many parts df needs at so many rows each."""
     return max(1, -(-df.count() // rows_a_part))

@@ -33,13 +33,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import components, joined_to_groups, mapped, split_by_ids, spread, without_ids, written
+from .shared import components, joined_to_groups, mapped, sized, split_by_ids, without_ids, written
 
 SEED = 42
 #: Words of 64 bits in a sketch.
 SKETCH = 32
 #: Fingerprints whose cells one task lists.
 FPS_A_TASK = 20_000
+#: Bytes of the rows that a fingerprint's looks take: 32 cells on average, a row of three numbers each.
+BYTES_LOOKED = 32 * 32
 #: Two-bit segments of a 32-bit half; its other segments have one bit.
 PAIRS = 4
 #: Logarithm of the sizes' ratio within a class of sizes.
@@ -107,14 +109,15 @@ def links(fps: DataFrame, distance: int = 3) -> DataFrame:
     if not 0 <= distance <= 3:
         raise ValueError("two halves cover distances from 0 to 3")
     own = fps.select("fp").where("fp is not null").distinct()
-    own = own.repartition(spread(own, FPS_A_TASK), "fp")
+    n = own.count()
+    own = own.repartition(max(1, -(-n // FPS_A_TASK)), "fp")
     homes = own.select("fp", F.explode(F.array(*(_counts(F.col("fp"), h) for h in (0, 1)))).alias("cell"))
     bits = F.bit_count(F.col("fp").bitwiseAND(F.when(F.col("cell") < (1 << 32), F.lit(0xFFFFFFFF)).otherwise(F.lit(-1 << 32))))
     seen = F.when(bits % 2 == 0, F.concat(F.array("cell"), _steps(F.col("cell")))).otherwise(F.array("cell"))
     looks = homes.select(F.col("fp").alias("other"), F.col("cell").alias("from"), F.explode(seen).alias("cell"))
     differ = F.bit_count(F.col("fp").bitwiseXOR(F.col("other")))
     once = (F.col("from") != F.col("cell")) | (F.col("other") < F.col("fp"))
-    near = homes.join(looks, "cell").where((F.col("fp") != F.col("other")) & (differ <= distance) & once)
+    near = homes.join(sized(looks, n * BYTES_LOOKED), "cell").where((F.col("fp") != F.col("other")) & (differ <= distance) & once)
     return near.select(F.least("other", "fp").alias("a"), F.greatest("other", "fp").alias("b")).distinct()
 
 
@@ -231,8 +234,9 @@ def _similar(pairs: DataFrame, rows: DataFrame, docs: DataFrame, shingle: int, s
     _, near = split_by_ids(docs, F.col("id"), wanted.select("id"))
     same = near["id"].eqNullSafe(wanted["id"]) & (near["h"] == wanted["h"])
     texts = written(near.join(wanted, same).select("node", "text").dropDuplicates(["node"]), "texts")  # rows may repeat
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0  # files of like texts are small
     one, two = texts.select(F.col("node").alias("a"), F.col("text").alias("one")), texts.select(F.col("node").alias("b"), F.col("text").alias("two"))
-    return written(mapped(likely.join(two, "b").join(one, "a").select("a", "b", "one", "two"), each, "a bigint, b bigint"), "similar")
+    return written(mapped(likely.join(sized(two, size), "b").join(sized(one, size), "a").select("a", "b", "one", "two"), each, "a bigint, b bigint"), "similar")
 
 
 def _meeting(rooted: DataFrame, similarity: float) -> DataFrame:

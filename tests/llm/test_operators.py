@@ -577,6 +577,22 @@ def test_lists_meet_in_all_pairs_that_may_be_similar(spark):
     assert twins.count() < rooted.where("gram % 2 = 1").count() / 2 and simhash._without_twins(single).count() == 0
 
 
+def test_what_is_larger_than_it_looks_is_not_broadcast(spark, monkeypatch):
+    """Cells of many fingerprints, which explode() makes of a small table, and texts whose files are small."""
+    prints = spark.range(40_000).select(F.xxhash64("id").alias("fp"))
+    near = simhash.links(prints)
+    near.count()
+    assert "BroadcastHashJoin" not in near._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    monkeypatch.setattr(shared, "FEW_BYTES", 1 << 20, raising=False)
+    plans, kept = [], simhash.written
+    monkeypatch.setattr(simhash, "written", lambda df, what: plans.append((what, df._jdf.queryExecution().executedPlan().toString())) or kept(df, what))
+    words = " ".join(f"w{i % 60}" for i in range(20_000)) + " "
+    docs = spark.createDataFrame([(i, words + "x" * i) for i in range(24)], "doc_id long, text string")
+    assert [r["doc_id"] for r in simhash.without_near_copies(docs).collect()] == [0]
+    first = dict(reversed(plans))["similar"]
+    assert "BroadcastHashJoin" not in first and "SortMergeJoin" in first
+
+
 def test_links_lose_no_pair(spark):
     draw = np.random.default_rng(3)
     base = [int(x) for x in draw.integers(0, 1 << 63, 60, dtype=np.uint64)] + [0, (1 << 64) - 1]
