@@ -79,6 +79,8 @@ FILTER_WORDS = 1024
 HOT_SHARE = 1 / 1024
 #: Bytes of a join's side up to which Spark may choose to broadcast it.
 FEW_BYTES = 16 << 20
+#: Bytes of a row that names a group, in a hashed table.
+BYTES_A_GROUP = 128
 
 
 def _place(key: Column) -> Column:
@@ -117,9 +119,9 @@ def joined_to_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) ->
     Groups with more than HOT_SHARE of all rows, 1023 at most, meet their rows by broadcast, so that no task
     gets a large group; all others meet by shuffle. rows and groups are each read twice.
     """
-    total = groups.agg(F.sum(size)).first()[0] or 0
+    total, n = groups.agg(F.coalesce(F.sum(size), F.lit(0)), F.count("*")).first()
     hot = groups.where(F.col(size) > total * HOT_SHARE)
-    cold = groups.where(F.col(size) <= total * HOT_SHARE)
+    cold = sized(groups.where(F.col(size) <= total * HOT_SHARE), n * BYTES_A_GROUP)
     large = rows.join(F.broadcast(hot), key)
     small = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
     return large.unionByName(small.select(*large.columns))

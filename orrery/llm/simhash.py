@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import components, joined_to_groups, mapped, sized, split_by_ids, without_ids, written
+from .shared import BYTES_A_GROUP, components, joined_to_groups, mapped, sized, split_by_ids, without_ids, written
 
 SEED = 42
 #: Words of 64 bits in a sketch.
@@ -135,7 +135,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, id_col
     roots = components(pairs, "a", "b").select(F.col("node").alias("fp"), "root")
     known = groups.join(roots, "fp", "left").join(degree, "fp", "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     known = written(known, "groups")
-    named = known.join(known.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "n", "component_id", "n_links")
+    named = sized(known, known.count() * BYTES_A_GROUP).join(known.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "n", "component_id", "n_links")
     return joined_to_groups(fps, written(named, "named"), "fp", "n").select(id_col, "fp", "component_id", "n_links")
 
 

@@ -593,6 +593,17 @@ def test_what_is_larger_than_it_looks_is_not_broadcast(spark, monkeypatch):
     assert "BroadcastHashJoin" not in first and "SortMergeJoin" in first
 
 
+def test_many_groups_are_not_broadcast(spark, monkeypatch):
+    """Names and sizes of groups, as many as there are different texts, meet the documents by shuffle."""
+    plans, kept = [], simhash.written
+    monkeypatch.setattr(shared, "FEW_BYTES", 1 << 16, raising=False)
+    monkeypatch.setattr(simhash, "written", lambda df, what: plans.append((what, df._jdf.queryExecution().executedPlan().toString())) or kept(df, what))
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat(F.lit("a b "), F.col("id") % 1000).alias("text"))
+    found = simhash.near_duplicates(docs)
+    assert found.count() == 2000 and "SortMergeJoin" in dict(plans)["named"]
+    assert found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("SortMergeJoin") == 1
+
+
 def test_links_lose_no_pair(spark):
     draw = np.random.default_rng(3)
     base = [int(x) for x in draw.integers(0, 1 << 63, 60, dtype=np.uint64)] + [0, (1 << 64) - 1]
