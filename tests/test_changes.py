@@ -3,11 +3,13 @@
 import pytest
 from pyspark.sql import functions as F
 
+from orrery.change_queries import fetched_property
 from orrery.model import Attribute, Entity, FetchedProperty, Model, ModelError, Relationship, Store, coerced
 from orrery.operators import changes, conflicts
 from orrery.plans import migration
 from orrery.plans.compiler import fetch
 from orrery.plans.request import Named, Request
+from orrery.semantic import MODEL as SEMANTIC
 from orrery.sources import tables, xml_store
 from orrery.streaming import history, live
 
@@ -209,3 +211,14 @@ def test_a_fetched_property_of_one_group_is_dealt_to_many_tasks(spark, monkeypat
     assert sorted(tuple(r) for r in found.collect()) == want
     parts = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
     assert max(parts) < len(want) / 20, parts
+
+
+def test_the_query_of_a_fetched_property_has_the_pairs_of_all_rows(spark):
+    """No target is left out for its balance; where targets are to be left out, `where` says so."""
+    names = ["c_custkey", "c_mktsegment", "c_acctbal"]
+    rows = [(1, "A", 10.0), (2, "A", 20.0), (3, "A", 9950.0), (4, "B", 5.0), (5, "B", None), (6, None, 9990.0), (7, "A", 20.0)]
+    table = spark.createDataFrame(rows, "c_custkey bigint, c_mktsegment string, c_acctbal double")
+    store = Store(spark, SEMANTIC, {"customer": table.select(*names)})
+    pairs = lambda least: sorted((s, t) for s, a, x in rows for t, b, y in rows if None not in (a, b, x, y) and a == b and y > x and y > least)
+    assert sorted(map(tuple, fetched_property(store).collect())) == pairs(0)
+    assert sorted(map(tuple, changes.fetched(store, "Customer", "peers", where="balance > 9900").collect())) == pairs(9900)
