@@ -12,7 +12,7 @@ import hashlib
 import json
 import unicodedata
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -135,11 +135,10 @@ class Tokenizer:
         self.values = {s: b for b, s in enumerate(self.bytes)}
         self.chunks, self.words = _Cache(self._chunk), _Cache(self._word)
 
-    def _word(self, word: str) -> tuple[bytes, str]:
-        ids = self.bpe.word(word if word.isascii() and word.isalnum() else "".join([self.bytes[b] for b in word.encode()]))
-        return array("I", ids).tobytes(), " ".join([self.names[i] for i in ids])
+    def _word(self, word: str) -> bytes:
+        return array("I", self.bpe.word(word if word.isascii() and word.isalnum() else "".join([self.bytes[b] for b in word.encode()]))).tobytes()
 
-    def _chunk(self, chunk: str) -> tuple[bytes, str]:
+    def _chunk(self, chunk: str) -> bytes:
         if chunk.isascii():
             text = chunk.lower()
             if text.isalpha():
@@ -147,8 +146,7 @@ class Tokenizer:
             words = self.split.findall(text)
         else:
             words = self._unusual(chunk)
-        found = [self.words[w] for w in words]
-        return b"".join([f[0] for f in found]), " ".join([f[1] for f in found if f[0]])
+        return b"".join([self.words[w] for w in words])
 
     def _unusual(self, chunk: str) -> list[str]:
         if max(chunk) < "\u0250":
@@ -162,13 +160,14 @@ class Tokenizer:
         found = []
         for part in self.cut.split(text) if any(s in text for s in self.special) else (text,):
             if part in self.special:
-                found.append((self.special[part].to_bytes(4, "little"), part))
+                found.append(self.special[part].to_bytes(4, "little"))
             else:  # white space ends every pre-token and is dropped
                 found += map(self.chunks.__getitem__, (_SPACE.split(part) if _ODD_SPACE.search(part) else part.split()))
-        return b"".join([f[0] for f in found]), " ".join([f[1] for f in found if f[0]])
+        ids = b"".join(found)
+        return ids, self.decode(array("I", ids))
 
-    def decode(self, ids: list[int]) -> str:
-        return " ".join(self.names[i] for i in ids if i in self.names)
+    def decode(self, ids: Iterable[int]) -> str:
+        return " ".join([n for n in map(self.names.get, ids) if n is not None])
 
 
 class _Cache(dict):
@@ -228,8 +227,8 @@ def decode(rows: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_col: str
     return mapped(rows, each, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, decoded string")
 
 
-def encoded_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_tokens, ids_sha256, decoded_sha256): encode()'s rows as digests, made where they arise."""
+def encoded_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
+    """(id_col, n_tokens, ids_sha256, decoded_sha256): encode()'s rows as digests, made where they arise; then the columns of docs named in also."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, sha = _tokenizer(tokenizer), lambda x: hashlib.sha256(x).hexdigest()
@@ -239,7 +238,8 @@ def encoded_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", tex
                 ids, text = tok.encode(t.as_py() or "")
                 rows.append((len(ids) // 4, sha(ids), sha(text.encode())))
             n, a, c = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(c, pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(c, pa.string()), *b.columns[2:]], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256", *also])
 
-    rows = docs.select(id_col, F.col(text_col).cast("string"))
-    return mapped(rows, each, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    rows = docs.select(id_col, F.col(text_col).cast("string"), *also)
+    more = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema[2:])
+    return mapped(rows, each, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{more}")

@@ -275,6 +275,15 @@ def test_bpe_agrees_with_the_library(spark, odd, empty):
     assert bpe.encode(empty, path).count() == bpe.encoded_digests(empty, path).count() == 0
 
 
+def test_the_decoded_text_comes_from_the_ids(monkeypatch):
+    """Also where the encoder has met the words before."""
+    tok = bpe._tokenizer(tokenizer_path("word_bpe_49k.json"))
+    ids, text = tok.encode("one two one")
+    one = int.from_bytes(ids[:4], "little")
+    monkeypatch.setitem(tok.names, one, "changed")
+    assert tok.encode("one two one") == (ids, " ".join("changed" if n == text.split()[0] else n for n in text.split()))
+
+
 # 6. Licenses
 
 

@@ -6,6 +6,7 @@ import re
 
 import corpus_pipeline
 import numpy as np
+from pyspark.sql import functions as F
 from reference import LOWER, fingerprint, roots
 from test_operators import duplicates, library
 
@@ -37,6 +38,16 @@ def test_each_stage_works_on_what_the_one_before_kept(spark, sf):
     assert out == {i: hashlib.sha256(np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes()).hexdigest() for i, t in left["SimHash near-dedup"].items()}
 
 
+def test_the_result_keeps_the_mixture(spark, sf):
+    """The last stage's positions put the documents into the order in which the stage before left them."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("source", F.concat(F.lit("s"), F.col("doc_id") % 3 + F.col("doc_id") % 2))
+    ordered = corpus_pipeline.written(corpus_pipeline.mix_sources(spark, docs, sf).coalesce(1), "test")
+    out = corpus_pipeline.encode_tokens(spark, ordered, sf).collect()
+    assert [r["doc_id"] for r in out] == [r["doc_id"] for r in ordered.collect()]
+    positions = [r["position"] for r in out]
+    assert positions == sorted(set(positions)) and len(out) == docs.count()
+
+
 def test_near_copies_go_from_jaccard_0_8_on(spark, odd, sf):
     """Against all pairs of the texts, on the given table and on one large group whose copies differ in several places."""
     draw = np.random.default_rng(4)
